@@ -16,7 +16,7 @@ _RULE_36, _RULE_44 = "─" * 36, "─" * 44
 
 
 def _f3(column: str) -> Column:
-    return F.format_string("%.3f", F.coalesce(F.col(column), F.lit(0.0)))
+    return F.format_string("%.3f", F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
 
 
 def _joined(*lines: Column) -> Column:

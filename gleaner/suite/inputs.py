@@ -76,16 +76,18 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
     )
     lengths = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most four values
     tokens = F.col("tokens")
-    runs = F.flatten(F.array(*[
-        F.transform(
-            F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
-            .otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.struct(
-                F.lit(n).alias("n"), F.xxhash64(F.slice(F.col("tokens"), i, n)).alias("anchor")
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.struct(
+                F.lit(n).alias("n"), F.xxhash64(F.slice(tokens, i, n)).alias("anchor")
             ),
         )
-        for n in lengths
-    ])) if lengths else F.array().cast("array<struct<n:int,anchor:bigint>>")
+
+    nothing = F.array().cast("array<struct<n:int,anchor:bigint>>")
+    runs = F.flatten(F.array(nothing, *[runs_of(n) for n in lengths]))
     text = F.col("normalized_text")
     candidates = (
         docs.select("doc_id", tokenize(text).alias("tokens"))
