@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner.functions.vectors import dot, norm
-from gleaner.operators.lexical import tie_key
+from gleaner.operators.lexical import TIE_STEPS, tie_key
 
 # A query matrix is shipped to the tasks only up to this many numbers (32 MB).
 QUERY_MATRIX_LIMIT = 4_000_000
@@ -41,12 +42,23 @@ def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
     return rows / np.where(lengths == 0, 1.0, lengths)
 
 
-def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs that can still reach the top k: all ties of the k-th stay."""
-    if scores.shape[1] <= k:
-        return np.nonzero(np.ones_like(scores, dtype=bool))
-    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-    return np.nonzero(scores >= kth - 2e-9)
+def _best(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of the k best rows per query; ties go by ``order``.
+
+    Rows at minus infinity never count. However many copies tie, k rows are kept.
+    """
+    keys = np.floor(scores * TIE_STEPS + 0.5)
+    if keys.shape[1] > k:
+        floor = -np.partition(-keys, k - 1, axis=1)[:, k - 1]
+    else:
+        floor = np.full(len(keys), -np.inf)
+    picked = []
+    for q, row in enumerate(keys):
+        at = np.flatnonzero((row >= floor[q]) & np.isfinite(row))
+        if len(at) > k:
+            at = at[np.lexsort((order[at], -row[at]))[:k]]
+        picked.append(at)
+    return np.repeat(np.arange(len(keys)), [len(p) for p in picked]), np.concatenate(picked)
 
 
 def dense_top_k(
@@ -55,22 +67,31 @@ def dense_top_k(
     top_k: int = 5,
     *,
     where: Column | None = None,
+    group: str | None = None,
     order_by: tuple[str, ...] = (),
     matrix_limit: int = QUERY_MATRIX_LIMIT,
 ) -> DataFrame:
     """(query_id, chunk_id, *order_by, score, rank) for queries(query_id, vector).
 
-    ``where`` is a payload filter; it is applied before ranking and reaches the scan.
+    ``where`` is a payload filter for all queries; it is applied before ranking and
+    reaches the scan. ``group`` names a payload column for filters that differ by
+    query: a query's ``group`` value admits equal rows only, null admits all.
     A zero query has no results, a zero row scores zero. Ties go to the row that is
     last by ``order_by`` and then by id.
     """
     if top_k < 0:
         raise ValueError(f"top_k must be >= 0, got {top_k}")
+    admits = F.lit(None) if group is None else F.col("group")
     asked = queries.where(norm(F.col("vector")) > 0).select(
-        F.col("query_id").cast("string").alias("query_id"), "vector"
+        F.col("query_id").cast("string").alias("query_id"), "vector",
+        admits.cast("string").alias("admits"),
     )
+    payload = F.lit(None) if group is None else F.col(group)
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), *order_by, "embedding")
+    rows = rows.select(
+        F.col("chunk_id").cast("string").alias("chunk_id"), *order_by, "embedding",
+        payload.cast("string").alias("payload_group"),
+    )
     if top_k == 0:
         asked = asked.limit(0)
     one = rows.select(F.size("embedding").alias("width")).take(1)
@@ -91,17 +112,30 @@ def dense_top_k(
 
 
 def _found_schema(rows: DataFrame) -> T.StructType:
-    kept = [f for f in rows.schema.fields if f.name != "embedding"]
+    kept = [f for f in rows.schema.fields if f.name not in ("embedding", "payload_group")]
     return T.StructType([
         T.StructField("query_id", T.StringType()), *kept, T.StructField("score", T.DoubleType())
     ])
 
 
-def _pick(vectors, scores: np.ndarray, query_ids: np.ndarray, top_k: int) -> pa.Table:
-    """Candidate rows of one score block with their passed-through columns."""
-    q, r = _candidates(scores, top_k)
-    kept = [n for n in vectors.schema.names if n not in ("embedding", "tile", "shard")]
-    taken = vectors.select(kept).take(pa.array(r, pa.int64()))
+def _pick(
+    vectors, matrix: np.ndarray, query_ids: np.ndarray, admits: np.ndarray, top_k: int
+) -> pa.Table:
+    """Best rows of one block of vectors with their passed-through columns."""
+    scores = matrix @ _matrix(vectors.column("embedding")).T
+    groups = vectors.column("payload_group").to_numpy(zero_copy_only=False)
+    for q in np.flatnonzero([a is not None for a in admits]):
+        scores[q, groups != admits[q]] = -np.inf
+    kept = [
+        n for n in vectors.schema.names
+        if n not in ("embedding", "payload_group", "tile", "shard")
+    ]
+    slim = vectors.select(kept)
+    latest = [(name, "descending") for name in [*kept[1:], kept[0]]]
+    order = np.empty(len(groups), dtype=np.int64)
+    order[pc.sort_indices(slim, sort_keys=latest).to_numpy()] = np.arange(len(groups))
+    q, r = _best(scores, order, top_k)
+    taken = slim.take(pa.array(r, pa.int64()))
     return pa.table({
         "query_id": pa.array(query_ids[q], pa.string()),
         **{name: taken.column(name) for name in kept},
@@ -113,16 +147,16 @@ def _by_shipped_matrix(rows: DataFrame, head: list, top_k: int) -> DataFrame:
     spark, schema = rows.sparkSession, _found_schema(rows)
     if not head:
         return spark.createDataFrame([], schema)
-    ids = np.array([r["query_id"] for r in head], dtype=object)
-    block = _matrix(pd.Series([np.asarray(r["vector"]) for r in head]))
-    shipped = spark.sparkContext.broadcast((ids, block))
+    shipped = spark.sparkContext.broadcast((
+        _matrix(pd.Series([np.asarray(r["vector"]) for r in head])),
+        np.array([r["query_id"] for r in head], dtype=object),
+        np.array([r["admits"] for r in head], dtype=object),
+    ))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shipped.value
         for batch in batches:
             if batch.num_rows:
-                scores = matrix @ _matrix(batch.column("embedding")).T
-                yield from _pick(batch, scores, query_ids, top_k).to_batches()
+                yield from _pick(batch, *shipped.value, top_k).to_batches()
 
     return rows.mapInArrow(score, schema)
 
@@ -145,9 +179,10 @@ def _by_tiles(rows: DataFrame, asked: DataFrame, top_k: int, tile_rows: int) ->
     def score(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not (vectors.num_rows and queries.num_rows):
             return empty
-        ids = queries.column("query_id").to_numpy()
-        scores = _matrix(queries.column("vector")) @ _matrix(vectors.column("embedding")).T
-        return _pick(vectors, scores, ids, top_k)
+        return _pick(
+            vectors, _matrix(queries.column("vector")), queries.column("query_id").to_numpy(),
+            queries.column("admits").to_numpy(), top_k,
+        )
 
     return (
         left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard"))

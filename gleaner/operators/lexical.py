@@ -26,15 +26,20 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 # in which a shard adds up doubles cannot change a ranking.
 TIE_STEPS = 1e9
 
+# Chunks remembered from the start of a corpus: enough for a top 100.
+HEAD_CHUNKS = 200
+
 
 @dataclass(frozen=True)
 class CorpusStats:
-    """Four scalars of the whole corpus; the only part that reaches the driver."""
+    """Scalars of the whole corpus and its first few chunk ids; all the driver sees."""
 
     chunk_count: int
     token_count: int
     vocabulary: int
     mean_idf: float
+    # The first chunks of the corpus; they take the ranks no score claims.
+    head: tuple = ()
 
     @property
     def average_length(self) -> float:
@@ -112,7 +117,17 @@ def corpus_stats(chunk_lengths: DataFrame, terms: DataFrame) -> CorpusStats:
         F.coalesce(F.sum("n"), F.lit(0)),
         F.coalesce(F.sum(raw_idf(F.col("df"), F.lit(float(n))) * F.col("n")), F.lit(0.0)),
     ).first()
-    return CorpusStats(n, tokens, vocabulary, idf_sum / vocabulary if vocabulary else 0.0)
+    return CorpusStats(
+        n, tokens, vocabulary, idf_sum / vocabulary if vocabulary else 0.0,
+        tuple(tuple(r) for r in _head(chunk_lengths, HEAD_CHUNKS)),
+    )
+
+
+def _head(chunk_lengths: DataFrame, n: int) -> list:
+    return (
+        chunk_lengths.select("chunk_id", "doc_id", "char_start")
+        .orderBy(path_order(F.col("doc_id")), "char_start").limit(n).collect()
+    )
 
 
 # ---------------------------------------------------------------- queries
@@ -165,12 +180,13 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 
 def _first_chunks(index: LexicalIndex, n: int) -> Column:
     """The first ``n`` chunks of the corpus as one array literal."""
-    kind = "array<struct<chunk_id:string,doc_id:string,char_start:int>>"
-    rows = (
-        index.chunks.select("chunk_id", "doc_id", "char_start")
-        .orderBy(path_order(F.col("doc_id")), "char_start").limit(n).collect()
+    names = ("chunk_id", "doc_id", "char_start")
+    enough = n <= len(index.stats.head) or len(index.stats.head) == index.stats.chunk_count
+    rows = index.stats.head if enough else _head(index.chunks, n)
+    return F.from_json(
+        F.lit(json.dumps([dict(zip(names, r)) for r in rows[:max(n, 0)]])),
+        "array<struct<chunk_id:string,doc_id:string,char_start:int>>",
     )
-    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), kind)
 
 
 def bm25_top_k(

@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import path_order
 from gleaner.operators.dense import dense_top_k
 from gleaner.operators.fusion import reciprocal_rank_fusion
 from gleaner.operators.lexical import bm25_top_k
 from gleaner.operators.rerank import apply_rerank
-from gleaner.session import BROADCAST_ROW_LIMIT, row_count_within
+from gleaner.session import BROADCAST_ROW_LIMIT, write_and_reread
 
 RETRIEVERS = ("bm25", "dense", "hybrid")
+# Up to this many results, chunk ids are looked up by a filter instead of a join.
+LOOKUP_LIMIT = 1000
 SCORE_SEMANTICS = {
     "bm25": "bm25_score", "dense": "cosine_similarity[-1,1]",
     "hybrid": "reciprocal_rank_fusion", "cross-encoder": "cross_encoder_relevance",
@@ -77,31 +80,62 @@ def _depth() -> Column:
     return F.when(reranked, F.col("rerank_top_n")).otherwise(F.col("top_k"))
 
 
-def base_ranking(index, asks: DataFrame, embedder=None) -> DataFrame:
+@dataclass(frozen=True)
+class AskSummary:
+    """What has to be known about a set of asks before it is planned."""
+
+    depths: dict[str, int]
+    count: int
+    reranked: int
+
+    @property
+    def result_limit(self) -> int:
+        """No more results than this can come out."""
+        return self.count * max(self.depths.values(), default=0)
+
+
+def summarize(asks: DataFrame, embedder, reranker) -> AskSummary:
+    """One small job that refuses runs some configuration makes impossible."""
+    active = F.col("reranker") != "none"
+    # At most three rows, or the run is refused.
+    rows = asks.groupBy("retriever").agg(
+        F.max(_depth()).alias("depth"), F.count("*").alias("n"), F.count_if(active).alias("again"),
+        F.min(F.when(active & (F.col("rerank_top_n") < F.col("top_k")), F.col("query_id")))
+        .alias("shallow"),
+    ).limit(len(RETRIEVERS) + 1).collect()
+    depths = {r["retriever"]: r["depth"] for r in rows}
+    unknown = set(depths) - set(RETRIEVERS)
+    if unknown:
+        raise ValueError(f"retriever must be one of {sorted(RETRIEVERS)}, got {sorted(unknown)}")
+    if embedder is None and set(depths) & {"dense", "hybrid"}:
+        raise ValueError("embedder must not be None when dense or hybrid retrieval is asked for")
+    reranked = sum(r["again"] for r in rows)
+    if reranked and reranker is None:
+        raise ValueError("reranker must not be None when any case uses a non-none reranker")
+    for r in rows:
+        if r["shallow"] is not None:
+            raise ValueError(f"{r['shallow']}: rerank_top_n must be >= top_k")
+    return AskSummary(depths, sum(r["n"] for r in rows), reranked)
+
+
+def base_ranking(
+    index, asks: DataFrame, embedder=None, summary: AskSummary | None = None
+) -> DataFrame:
     """(query_id, chunk_id, score, rank) at each question's own depth, before reranking.
 
     The three retrievers rank all of their questions in one job each, at the greatest
     depth asked for; a shallower question keeps a prefix of its list.
     """
+    modes = (summary or summarize(asks, embedder, reranker=True)).depths
     asks = asks.withColumn("depth", _depth())
-    modes = {
-        row["retriever"]: row["depth"]
-        for row in asks.groupBy("retriever").agg(F.max("depth").alias("depth")).collect()
-    }
-    unknown = set(modes) - set(RETRIEVERS)
-    if unknown:
-        raise ValueError(f"retriever must be one of {sorted(RETRIEVERS)}, got {sorted(unknown)}")
-    if embedder is None and set(modes) & {"dense", "hybrid"}:
-        raise ValueError("embedder must not be None when dense or hybrid retrieval is asked for")
 
     def lexical(sub: DataFrame, k: int) -> DataFrame:
         return bm25_top_k(index.lexical, sub, k)
 
     def dense(sub: DataFrame, k: int) -> DataFrame:
         queries = sub.select("query_id", embedder.vector(F.col("question")).alias("vector"))
-        return dense_top_k(
-            index.vectors, queries, k, order_by=("doc_id", "char_start")
-        )
+        vectors = index.vectors.withColumn("doc_order", path_order(F.col("doc_id")))
+        return dense_top_k(vectors, queries, k, order_by=("doc_order", "char_start"))
 
     def cut(ranked: DataFrame, sub: DataFrame) -> DataFrame:
         return (
@@ -128,14 +162,23 @@ def base_ranking(index, asks: DataFrame, embedder=None) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked)
 
 
-def with_chunks(index, ranked: DataFrame, small: bool) -> DataFrame:
-    """Attach text and metadata; a small ranking is broadcast to the chunk scan."""
+def with_chunks(index, ranked: DataFrame, result_limit: int) -> DataFrame:
+    """Attach text and metadata to a stored ranking.
+
+    A few ids become a filter on the chunk table, which is kept in id order; more ids
+    are joined, broadcast while their number is within bounds.
+    """
     payload = index.chunks.select(
         "chunk_id", "doc_id", "text", F.coalesce("metadata.title", F.lit("")).alias("title"),
         F.coalesce("metadata.path", "doc_id").alias("path"),
     )
     slim = ranked.drop("doc_id", "char_start")
-    return payload.join(F.broadcast(slim) if small else slim, "chunk_id")
+    if result_limit <= LOOKUP_LIMIT:
+        ids = [r["chunk_id"] for r in slim.select("chunk_id").distinct().collect()]
+        payload = payload.where(F.col("chunk_id").isin(ids))
+    return payload.join(
+        F.broadcast(slim) if result_limit <= BROADCAST_ROW_LIMIT else slim, "chunk_id"
+    )
 
 
 def retrieve(index, asks: DataFrame, embedder=None, reranker=None) -> DataFrame:
@@ -144,39 +187,27 @@ def retrieve(index, asks: DataFrame, embedder=None, reranker=None) -> DataFrame:
 
     ``asks`` has query_id, question, retriever, top_k, reranker, rerank_top_n.
     """
-    _check_asks(asks, reranker)
-    deepest = asks.agg(F.max(_depth())).first()[0] or 0
-    small = row_count_within(asks, BROADCAST_ROW_LIMIT // max(1, deepest))
-    base = base_ranking(index, asks, embedder)
+    summary = summarize(asks, embedder, reranker)
+    # Stored once: the ranking is the costly part and feeds more than one branch.
+    base = write_and_reread(base_ranking(index, asks, embedder, summary), "ranking")
     settings = asks.select("query_id", "question", "reranker", "top_k")
-    found = with_chunks(index, base, small).join(
-        F.broadcast(settings) if small else settings, "query_id"
+    found = with_chunks(index, base, summary.result_limit).join(
+        F.broadcast(settings) if summary.result_limit <= BROADCAST_ROW_LIMIT else settings,
+        "query_id",
     )
     plain = found.where(F.col("reranker") == "none").select(
         "*", F.lit(None).cast("int").alias("pre_rerank_rank"),
         F.lit(None).cast("double").alias("pre_rerank_score"),
     )
-    if reranker is None:
+    if not summary.reranked:
         return plain.drop("reranker", "top_k")
-    second = apply_rerank(found.where(F.col("reranker") != "none"), reranker, deepest).where(
+    again = found.where(F.col("reranker") != "none")
+    second = apply_rerank(again, reranker, max(summary.depths.values())).where(
         F.col("rank") <= F.col("top_k")
     )
     return plain.unionByName(second).drop("reranker", "top_k")
 
 
-def _check_asks(asks: DataFrame, reranker) -> None:
-    """Refuse a run that some configuration makes impossible."""
-    active = F.col("reranker") != "none"
-    needs, shallow = asks.agg(
-        F.count_if(active),
-        F.min(F.when(active & (F.col("rerank_top_n") < F.col("top_k")), F.col("query_id"))),
-    ).first()
-    if needs and reranker is None:
-        raise ValueError("reranker must not be None when any case uses a non-none reranker")
-    if shallow is not None:
-        raise ValueError(f"{shallow}: rerank_top_n must be >= top_k")
-
-
 def retrieved_docs(asks: DataFrame, results: DataFrame) -> DataFrame:
     """``asks`` with the document ids retrieved for each, in rank order."""
     lists = results.groupBy("query_id").agg(

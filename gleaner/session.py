@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", app_name: str = "gleaner", **conf: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Id lookups push whole lists down to parquet, not just their range.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
@@ -43,10 +43,12 @@ def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> Co
     n = shards or max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
+    name = _table_name(f"{path}/postings")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     (
         build_postings(chunks, n).write.mode("overwrite").format("parquet")
         .bucketBy(n, "chunk_id").sortBy("term").option("path", f"{path}/postings")
-        .saveAsTable(_table_name())
+        .saveAsTable(name)
     )
     postings = _bucketed(spark, f"{path}/postings", n)
     (
@@ -65,6 +67,7 @@ def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> Co
 def read_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     stats = _read_json(spark, f"{path}/stats")
     shards = stats.pop("shards")
+    stats["head"] = tuple(tuple(r) for r in stats["head"])
     return LexicalIndex(
         chunks=spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths"),
         postings=_bucketed(spark, f"{path}/postings", shards),
@@ -93,7 +96,10 @@ def write_index(
     """Write documents, chunks, vectors, the lexical tables and a manifest."""
     spark = documents.sparkSession
     documents.write.mode("overwrite").parquet(f"{path}/documents")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    # In id order, so that a lookup of few ids reads few row groups.
+    chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode(
+        "overwrite"
+    ).parquet(f"{path}/chunks")
     documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents")
     chunks = spark.read.schema(schemas.CHUNK).parquet(f"{path}/chunks")
     if embedder is not None:
@@ -173,15 +179,16 @@ def check_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> None:
 
 # ---------------------------------------------------------------- helpers
 
-def _table_name() -> str:
-    return f"gleaner_{uuid.uuid4().hex}"
+def _table_name(path: str) -> str:
+    """One catalog entry per folder, however often it is opened."""
+    return f"gleaner_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
 
 
 def _bucketed(spark: SparkSession, path: str, shards: int) -> DataFrame:
     """Declare the bucket layout of a postings folder so scans come out sharded."""
-    name = _table_name()
+    name = _table_name(path)
     spark.sql(
-        f"CREATE TABLE {name} ({_POSTINGS}) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet "
         f"CLUSTERED BY (chunk_id) SORTED BY (term) INTO {shards} BUCKETS LOCATION '{path}'"
     )
     return spark.table(name)

@@ -89,14 +89,16 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<struct<n:int,anchor:bigint>>")
     runs = F.flatten(F.array(nothing, *[runs_of(n) for n in lengths]))
     text = F.col("normalized_text")
-    candidates = (
+    # Stored, so that the second join is planned from the true size of the candidates.
+    candidates = write_and_reread(
         docs.select("doc_id", tokenize(text).alias("tokens"))
         .select("doc_id", F.inline(F.array_distinct(runs)))
         .join(broadcast_if_small(anchors), ["n", "anchor"])
-        .select("doc_id", "query_id", "question")
+        .select("doc_id", "query_id", "question").distinct(),
+        "candidates",
     )
     return (
-        docs.select("doc_id", text).join(broadcast_if_small(candidates), "doc_id")
+        docs.select("doc_id", text).join(candidates, "doc_id")
         .where(F.contains(text, F.col("question"))).select("query_id", "doc_id").distinct()
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +20,7 @@ from gleaner.plans.retrieval import RetrievalConfig, ask, base_ranking, retrieve
 from gleaner.plugins.generators import EchoGenerator, provider_url
 from gleaner.plugins.judges import ScriptedJudge, parse_reply
 from gleaner.plugins.rerankers import ColumnScore
+from gleaner.session import write_and_reread
 from gleaner.sources import jsonl
 from gleaner.suite import inputs as inp
 
@@ -226,18 +225,11 @@ def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Recomputed from the stored tables rather than read from the manifest."""
     ix = inp.index(spark, sf).lexical
-    lengths = ix.chunks.agg(
-        F.count("*").alias("chunks"), F.sum("dl").alias("tokens"), F.avg("dl").alias("mean_length")
-    )
-    vocabulary = ix.terms.agg(
-        F.count("*").alias("vocabulary"),
-        F.avg(lexical.raw_idf(F.col("df"), F.lit(float(ix.stats.chunk_count)))).alias("mean_idf"),
-    )
-    return lengths.join(vocabulary, F.lit(True)).select(
-        _n("chunks", "chunks"), _n("tokens", "tokens"), _r("mean_length", "mean_length"),
-        _n("vocabulary", "vocabulary"), _r("mean_idf", "mean_idf"),
+    stats = lexical.corpus_stats(ix.chunks, ix.terms)
+    return ix.chunks.agg(
+        _n(F.count("*"), "chunks"), _n(F.sum("dl"), "tokens"), _r(F.avg("dl"), "mean_length"),
+        _n(F.lit(stats.vocabulary), "vocabulary"), _r(F.lit(stats.mean_idf), "mean_idf"),
     )
 
 
@@ -285,16 +277,10 @@ def dense_top_k_by_label(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def dense_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Every label's search inside its own payload group."""
-    vectors, queries = inp.vectors(spark, sf), inp.label_centroids(spark, sf)
-    groups = [r["label"] for r in vectors.select("label").distinct().collect()]
-    per_group = [
-        dense_top_k(
-            vectors, queries.where(F.col("query_id") == str(g)), 5,
-            where=F.col("label") == g, order_by=("vec_id",),
-        )
-        for g in groups
-    ]
-    return reduce(DataFrame.unionByName, per_group).select(
+    queries = inp.label_centroids(spark, sf).withColumn("group", F.col("query_id"))
+    return dense_top_k(
+        inp.vectors(spark, sf), queries, 5, group="label", order_by=("vec_id",)
+    ).select(
         "query_id", _n("rank", "rank"), "chunk_id", _r("score", "score")
     )
 
@@ -386,7 +372,8 @@ def _length_reranker() -> ColumnScore:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return with_chunks(inp.index(spark, sf), _bm25(spark, sf, 20), True)
+    ranked = write_and_reread(_bm25(spark, sf, 20), "candidates")
+    return with_chunks(inp.index(spark, sf), ranked, 20 * inp.questions(spark, sf).count())
 
 
 @query
