@@ -105,4 +105,4 @@ def source_group(doc_id: Column) -> Column:
 
 def path_order(doc_id: Column) -> Column:
     """Sort key that compares paths component by component: the separator sorts first."""
-    return F.translate(doc_id, "/", "\0")
+    return F.translate(doc_id, "/", "\x01")

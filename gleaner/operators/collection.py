@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import path_order, source_group
+from gleaner.functions.text import source_group
 from gleaner.functions.vectors import all_close, unit
 from gleaner.operators.digest import ordered_digest
 
@@ -47,11 +47,8 @@ def vector_fingerprint(vectors: DataFrame) -> str:
         F.encode(F.concat_ws(":", F.char_length("chunk_id"), "chunk_id"), "UTF-8"),
         vector_bytes(F.col("embedding")),
     )
-    keyed = vectors.select(
-        path_order(F.col("doc_id")).alias("doc_order"), "char_start", "chunk_id",
-        F.sha2(row, 256).alias("digest"),
-    )
-    digest = ordered_digest(keyed, "doc_order", "char_start", "chunk_id")
+    keyed = vectors.select("position", F.sha2(row, 256).alias("digest"))
+    digest = ordered_digest(keyed, "position")
     shape = tuple(vectors.agg(F.count("*"), F.max(F.size("embedding"))).first())
     return hashlib.sha256(f"source-vectors cosine {shape} {digest}".encode()).hexdigest()
 

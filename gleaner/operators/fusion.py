@@ -15,9 +15,10 @@ RRF_K = 60
 
 
 def reciprocal_rank_fusion(
-    lists: list[DataFrame], top_k: int, k: int = RRF_K, source_names: list[str] | None = None
+    lists: list[DataFrame], top_k: int, k: int = RRF_K, source_names: list[str] | None = None,
+    key: str = "chunk_id",
 ) -> DataFrame:
-    """(query_id, chunk_id, score, rank, sources) from lists of (query_id, chunk_id, score, rank).
+    """(query_id, <key>, score, rank, sources) from lists of (query_id, <key>, score, rank).
 
     Ties keep the order in which a chunk is first seen, list by list. ``sources``
     holds every contribution in list order.
@@ -29,7 +30,7 @@ def reciprocal_rank_fusion(
         raise ValueError("source_names must match results_lists")
     tagged = [
         ranked.select(
-            "query_id", "chunk_id",
+            "query_id", key,
             F.struct(
                 F.lit(i).alias("source_no"), F.col("rank").cast("int").alias("rank"),
                 F.lit(name).alias("source"), F.col("score").cast("double").alias("score"),
@@ -41,7 +42,7 @@ def reciprocal_rank_fusion(
     # A chunk has one hit per list, so a group is never longer than the number of lists.
     fused = (
         reduce(DataFrame.unionByName, tagged)
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", key)
         .agg(F.array_sort(F.collect_list("hit")).alias("hits"))
         .withColumn("score", F.aggregate(
             "hits", F.lit(0.0), lambda total, hit: total + hit["contribution"]
@@ -56,7 +57,7 @@ def reciprocal_rank_fusion(
     return (
         fused.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_k)
-        .select("query_id", "chunk_id", "score", "rank", sources.alias("sources"))
+        .select("query_id", key, "score", "rank", sources.alias("sources"))
     )
 
 

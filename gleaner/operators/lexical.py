@@ -1,10 +1,11 @@
 """Okapi BM25 over chunk tables.
 
-The index is a set of postings sharded by chunk: a chunk's postings always share
-a partition, so scores are summed and cut to the top k inside a shard, and only k
-rows per query and shard meet in the final merge. Written to a table, postings are
-bucketed by ``chunk_id`` and sorted by term, which keeps that sharding on disk and
-lets parquet statistics skip row groups without query terms.
+Chunks are known by ``position``, a number that grows in document order and so also
+decides ties. Postings are sharded by it: a chunk's postings always share a partition,
+scores are summed and cut to the top k inside a shard, and only k rows per query and
+shard meet in the final merge. Written to a table, postings are bucketed by position
+and sorted by term, which keeps that sharding on disk and lets parquet statistics skip
+row groups without query terms.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ class CorpusStats:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """chunks(chunk_id, doc_id, char_start, dl) · postings(+ term, tf) · terms(term, df)"""
+    """chunks(position, chunk_id, doc_id, char_start, dl), postings(position, dl, term, tf),
+    terms(term, df)"""
 
     chunks: DataFrame
     postings: DataFrame
@@ -66,28 +68,36 @@ def tie_key(score: Column) -> Column:
 
 # ---------------------------------------------------------------- index tables
 
+def with_position(chunks: DataFrame) -> DataFrame:
+    """Number chunks in document order.
+
+    The numbers have gaps and depend on how the sort was split, so the result has to
+    be stored before it is read twice.
+    """
+    return chunks.orderBy(path_order(F.col("doc_id")), "char_start").withColumn(
+        "position", F.monotonically_increasing_id()
+    )
+
+
 def build_postings(chunks: DataFrame, shards: int | None = None) -> DataFrame:
-    """(chunk_id, doc_id, char_start, dl, term, tf), sharded by chunk.
+    """(position, dl, term, tf), sharded by position.
 
     The one shuffle moves every chunk once; counting then happens inside a shard.
     """
-    slim = chunks.select("chunk_id", "doc_id", "char_start", "text")
-    sharded = slim.repartition(shards, "chunk_id") if shards else slim.repartition("chunk_id")
+    slim = chunks.select("position", "text")
+    sharded = slim.repartition(shards, "position") if shards else slim.repartition("position")
     tokens = F.col("tokens")
     return (
         sharded.withColumn("tokens", tokenize(F.col("text")))
-        .select(
-            "chunk_id", "doc_id", "char_start",
-            F.size(tokens).alias("dl"), F.explode(tokens).alias("term"),
-        )
-        .groupBy("chunk_id", "doc_id", "char_start", "dl", "term")
-        .agg(F.count("*").cast("int").alias("tf"))
+        .select("position", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+        .groupBy("position", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
     )
 
 
 def build_chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select(
-        "chunk_id", "doc_id", "char_start", F.size(tokenize(F.col("text"))).alias("dl")
+        "position", "chunk_id", "doc_id", "char_start",
+        F.size(tokenize(F.col("text"))).alias("dl"),
     )
 
 
@@ -119,15 +129,13 @@ def corpus_stats(chunk_lengths: DataFrame, terms: DataFrame) -> CorpusStats:
     ).first()
     return CorpusStats(
         n, tokens, vocabulary, idf_sum / vocabulary if vocabulary else 0.0,
-        tuple(tuple(r) for r in _head(chunk_lengths, HEAD_CHUNKS)),
+        tuple(_head(chunk_lengths, HEAD_CHUNKS)),
     )
 
 
-def _head(chunk_lengths: DataFrame, n: int) -> list:
-    return (
-        chunk_lengths.select("chunk_id", "doc_id", "char_start")
-        .orderBy(path_order(F.col("doc_id")), "char_start").limit(n).collect()
-    )
+def _head(chunk_lengths: DataFrame, n: int) -> list[int]:
+    rows = chunk_lengths.select("position").orderBy("position").limit(n).collect()
+    return [r["position"] for r in rows]
 
 
 # ---------------------------------------------------------------- queries
@@ -165,34 +173,27 @@ def _scores(postings: DataFrame, terms: DataFrame, stats: CorpusStats) -> DataFr
     )
     return (
         postings.join(terms, "term")
-        .groupBy("chunk_id", "doc_id", "char_start", "query_id")
-        .agg(F.sum(part).alias("score"))
+        .groupBy("position", "query_id").agg(F.sum(part).alias("score"))
     )
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(
-        F.desc(tie_key(F.col("score"))), path_order(F.col("doc_id")), "char_start"
-    )
+    order = W.partitionBy("query_id").orderBy(F.desc(tie_key(F.col("score"))), "position")
     ranked = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "chunk_id", "doc_id", "char_start", "score", "rank")
+    return ranked.select("query_id", "position", "score", "rank")
 
 
 def _first_chunks(index: LexicalIndex, n: int) -> Column:
-    """The first ``n`` chunks of the corpus as one array literal."""
-    names = ("chunk_id", "doc_id", "char_start")
+    """Positions of the first ``n`` chunks of the corpus as one array literal."""
     enough = n <= len(index.stats.head) or len(index.stats.head) == index.stats.chunk_count
-    rows = index.stats.head if enough else _head(index.chunks, n)
-    return F.from_json(
-        F.lit(json.dumps([dict(zip(names, r)) for r in rows[:max(n, 0)]])),
-        "array<struct<chunk_id:string,doc_id:string,char_start:int>>",
-    )
+    head = index.stats.head if enough else _head(index.chunks, n)
+    return F.from_json(F.lit(json.dumps(list(head[:max(n, 0)]))), "array<bigint>")
 
 
 def bm25_top_k(
     index: LexicalIndex, queries: DataFrame, top_k: int = 5, text: str = "question"
 ) -> DataFrame:
-    """(query_id, chunk_id, doc_id, char_start, score, rank) for all queries at once.
+    """(query_id, position, score, rank) for all queries at once; see ``with_ids``.
 
     Chunks without any query term score zero and still take the ranks that no
     positive score claims. With p < k positive scores, the k zero scores that come
@@ -214,22 +215,30 @@ def bm25_top_k(
         _scores(index.postings, F.broadcast(terms) if small else terms, index.stats), top_k
     )
     zeros = asked.select(
-        "query_id", F.inline(_first_chunks(index, 2 * top_k - 1)), F.lit(0.0).alias("score")
+        "query_id", F.explode(_first_chunks(index, 2 * top_k - 1)).alias("position"),
+        F.lit(0.0).alias("score"),
     )
     both = (
         best.drop("rank").unionByName(zeros)
-        .groupBy("query_id", "chunk_id", "doc_id", "char_start")
-        .agg(F.sum("score").alias("score"))
+        .groupBy("query_id", "position").agg(F.sum("score").alias("score"))
     )
     return _top(both, top_k)
 
 
+def with_ids(index: LexicalIndex, ranked: DataFrame, result_limit: int) -> DataFrame:
+    """Attach chunk_id, doc_id and char_start to a ranking of at most that many rows."""
+    ids = index.chunks.select("position", "chunk_id", "doc_id", "char_start")
+    return ids.join(
+        F.broadcast(ranked) if result_limit <= BROADCAST_ROW_LIMIT else ranked, "position"
+    )
+
+
 def _with_zero_postings(
     index: LexicalIndex, asked: DataFrame, terms: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Postings and query terms that also meet in an empty term worth nothing."""
     blank = index.chunks.select(
-        "chunk_id", "doc_id", "char_start", "dl", F.lit("").alias("term"), F.lit(0).alias("tf")
+        "position", "dl", F.lit("").alias("term"), F.lit(0).alias("tf")
     )
     everywhere = asked.select(
         "query_id", F.lit("").alias("term"), F.lit(0).alias("term_no"),
@@ -253,11 +262,11 @@ def bm25_explain(
         F.array_sort(F.collect_list(F.struct("term_no", "term", "query_frequency", "df", "idf")))
         .alias("query_terms")
     )
-    wanted = results.select("query_id", "chunk_id", "rank", "score").join(per_query, "query_id")
+    wanted = results.select("query_id", "position", "rank", "score").join(per_query, "query_id")
     asked_for = F.exists("query_terms", lambda q: q["term"] == F.col("term"))
     found = (
-        index.postings.select("chunk_id", "dl", "term", "tf").join(wanted, "chunk_id")
-        .groupBy("query_id", "chunk_id")
+        index.postings.join(wanted, "position")
+        .groupBy("query_id", "position")
         .agg(
             F.first("rank").alias("rank"), F.first("score").alias("score"),
             F.first("dl").alias("document_length"), F.first("query_terms").alias("query_terms"),
@@ -279,7 +288,7 @@ def bm25_explain(
         )
 
     return found.select(
-        "query_id", "chunk_id", "rank", "score", "document_length",
+        "query_id", "position", "rank", "score", "document_length",
         F.lit(index.stats.average_length).alias("average_document_length"),
         F.lit(index.stats.chunk_count).alias("corpus_size"),
         F.lit(K1).alias("k1"), F.lit(B).alias("b"),

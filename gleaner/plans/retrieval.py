@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import path_order
 from gleaner.operators.dense import dense_top_k
 from gleaner.operators.fusion import reciprocal_rank_fusion
 from gleaner.operators.lexical import bm25_top_k
@@ -16,7 +15,7 @@ from gleaner.operators.rerank import apply_rerank
 from gleaner.session import BROADCAST_ROW_LIMIT, write_and_reread
 
 RETRIEVERS = ("bm25", "dense", "hybrid")
-# Up to this many results, chunk ids are looked up by a filter instead of a join.
+# Up to this many results, chunks are looked up by a filter instead of a join.
 LOOKUP_LIMIT = 1000
 SCORE_SEMANTICS = {
     "bm25": "bm25_score", "dense": "cosine_similarity[-1,1]",
@@ -121,43 +120,59 @@ def summarize(asks: DataFrame, embedder, reranker) -> AskSummary:
 def base_ranking(
     index, asks: DataFrame, embedder=None, summary: AskSummary | None = None
 ) -> DataFrame:
-    """(query_id, chunk_id, score, rank) at each question's own depth, before reranking.
+    """(query_id, position, score, rank) at each ask's own depth, before reranking.
 
-    The three retrievers rank all of their questions in one job each, at the greatest
-    depth asked for; a shallower question keeps a prefix of its list.
+    Each retriever ranks its distinct questions in one job, at the greatest depth asked
+    for; every ask of a question then keeps its own prefix of the list.
     """
     modes = (summary or summarize(asks, embedder, reranker=True)).depths
-    asks = asks.withColumn("depth", _depth())
+    asks = asks.select(
+        "query_id", "question", "retriever", _depth().alias("depth"),
+        F.sha2("question", 256).alias("question_key"),
+    )
+
+    def distinct(sub: DataFrame) -> DataFrame:
+        return sub.select(F.col("question_key").alias("query_id"), "question").distinct()
 
     def lexical(sub: DataFrame, k: int) -> DataFrame:
-        return bm25_top_k(index.lexical, sub, k)
+        return bm25_top_k(index.lexical, distinct(sub), k)
 
     def dense(sub: DataFrame, k: int) -> DataFrame:
-        queries = sub.select("query_id", embedder.vector(F.col("question")).alias("vector"))
-        vectors = index.vectors.withColumn("doc_order", path_order(F.col("doc_id")))
-        return dense_top_k(vectors, queries, k, order_by=("doc_order", "char_start"))
+        queries = distinct(sub).select(
+            "query_id", embedder.vector(F.col("question")).alias("vector")
+        )
+        return dense_top_k(index.vectors, queries, k, order_by=("position",))
 
-    def cut(ranked: DataFrame, sub: DataFrame) -> DataFrame:
+    def fan_out(ranked: DataFrame, sub: DataFrame) -> DataFrame:
+        found = ranked.select(
+            F.col("query_id").alias("question_key"), "position", "score", "rank"
+        )
         return (
-            ranked.select("query_id", "chunk_id", "score", "rank")
-            .join(sub.select("query_id", "depth"), "query_id")
-            .where(F.col("rank") <= F.col("depth")).drop("depth")
+            found.join(sub.select("question_key", "query_id", "depth"), "question_key")
+            .where(F.col("rank") <= F.col("depth"))
+            .select("query_id", "position", "score", "rank")
         )
 
     ranked = []
     for mode, k in modes.items():
         sub = asks.where(F.col("retriever") == mode)
         if mode == "bm25":
-            found = lexical(sub, k)
+            ranked.append(fan_out(lexical(sub, k), sub))
         elif mode == "dense":
-            found = dense(sub, k)
+            ranked.append(fan_out(dense(sub, k), sub))
         else:
-            lists = [cut(dense(sub, k), sub), cut(lexical(sub, k), sub)]
-            found = reciprocal_rank_fusion(lists, k, source_names=["dense", "bm25"])
-        ranked.append(cut(found, sub))
+            # How far a list reaches changes what is fused, so lists are cut before.
+            lists = [fan_out(dense(sub, k), sub), fan_out(lexical(sub, k), sub)]
+            fused = reciprocal_rank_fusion(
+                lists, k, source_names=["dense", "bm25"], key="position"
+            ).drop("sources")
+            ranked.append(
+                fused.join(sub.select("query_id", "depth"), "query_id")
+                .where(F.col("rank") <= F.col("depth")).drop("depth")
+            )
     if not ranked:
         return index.chunks.sparkSession.createDataFrame(
-            [], "query_id string, chunk_id string, score double, rank int"
+            [], "query_id string, position long, score double, rank int"
         )
     return reduce(DataFrame.unionByName, ranked)
 
@@ -165,19 +180,18 @@ def base_ranking(
 def with_chunks(index, ranked: DataFrame, result_limit: int) -> DataFrame:
     """Attach text and metadata to a stored ranking.
 
-    A few ids become a filter on the chunk table, which is kept in id order; more ids
-    are joined, broadcast while their number is within bounds.
+    A few positions become a filter on the chunk table, which is kept in their order;
+    more are joined, broadcast while their number is within bounds.
     """
     payload = index.chunks.select(
-        "chunk_id", "doc_id", "text", F.coalesce("metadata.title", F.lit("")).alias("title"),
+        "position", "chunk_id", "doc_id", "text", F.coalesce("metadata.title", F.lit("")).alias("title"),
         F.coalesce("metadata.path", "doc_id").alias("path"),
     )
-    slim = ranked.drop("doc_id", "char_start")
     if result_limit <= LOOKUP_LIMIT:
-        ids = [r["chunk_id"] for r in slim.select("chunk_id").distinct().collect()]
-        payload = payload.where(F.col("chunk_id").isin(ids))
+        wanted = [r["position"] for r in ranked.select("position").distinct().collect()]
+        payload = payload.where(F.col("position").isin(wanted))
     return payload.join(
-        F.broadcast(slim) if result_limit <= BROADCAST_ROW_LIMIT else slim, "chunk_id"
+        F.broadcast(ranked) if result_limit <= BROADCAST_ROW_LIMIT else ranked, "position"
     )
 
 

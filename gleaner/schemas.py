@@ -18,7 +18,10 @@ DOCUMENT = struct(
 CHUNK = struct(
     chunk_id=STR, doc_id=STR, text=STR, char_start=INT, char_end=INT, metadata=METADATA
 )
-VECTOR = struct(chunk_id=STR, doc_id=STR, char_start=INT, embedding=T.ArrayType(T.FloatType()))
+STORED_CHUNK = struct(**{f.name: f.dataType for f in CHUNK}, position=LONG)
+VECTOR = struct(
+    position=LONG, chunk_id=STR, doc_id=STR, embedding=T.ArrayType(T.FloatType())
+)
 RANKED = struct(query_id=STR, chunk_id=STR, doc_id=STR, score=DBL, rank=INT)
 EVAL_SAMPLE = struct(
     question_id=STR, question=STR, answer=STR, gold_doc_ids=T.ArrayType(STR),

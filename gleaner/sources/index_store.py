@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.operators.lexical import (
-    CorpusStats, LexicalIndex, build_postings, corpus_stats, document_frequency,
+    CorpusStats, LexicalIndex, build_chunk_lengths, build_postings, corpus_stats,
+    document_frequency, with_position,
 )
 
 # The index format and what a manifest without these keys means.
@@ -21,8 +22,8 @@ MANIFEST_DEFAULTS = {
     "index_backend": "numpy", "distance_metric": "cosine", "backend_identity": "numpy",
 }
 
-_POSTINGS = "chunk_id STRING, doc_id STRING, char_start INT, dl INT, term STRING, tf INT"
-_LENGTHS = "chunk_id STRING, doc_id STRING, char_start INT, dl INT"
+_POSTINGS = "position BIGINT, dl INT, term STRING, tf INT"
+_LENGTHS = "position BIGINT, chunk_id STRING, doc_id STRING, char_start INT, dl INT"
 _TERMS = "term STRING, df BIGINT"
 
 
@@ -38,7 +39,10 @@ class StoredIndex:
 
 
 def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> CorpusStats:
-    """Postings bucketed by chunk and sorted by term, chunk lengths, df table, scalars."""
+    """Postings bucketed by position and sorted by term, chunk lengths, df table, scalars.
+
+    ``chunks`` carries a stored ``position``.
+    """
     spark = chunks.sparkSession
     n = shards or max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
@@ -47,14 +51,11 @@ def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> Co
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     (
         build_postings(chunks, n).write.mode("overwrite").format("parquet")
-        .bucketBy(n, "chunk_id").sortBy("term").option("path", f"{path}/postings")
+        .bucketBy(n, "position").sortBy("term").option("path", f"{path}/postings")
         .saveAsTable(name)
     )
     postings = _bucketed(spark, f"{path}/postings", n)
-    (
-        postings.groupBy("chunk_id", "doc_id", "char_start", "dl").count().drop("count")
-        .write.mode("overwrite").parquet(f"{path}/chunk_lengths")
-    )
+    build_chunk_lengths(chunks).write.mode("overwrite").parquet(f"{path}/chunk_lengths")
     document_frequency(postings).write.mode("overwrite").parquet(f"{path}/terms")
     stats = corpus_stats(
         spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths"),
@@ -67,7 +68,7 @@ def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> Co
 def read_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     stats = _read_json(spark, f"{path}/stats")
     shards = stats.pop("shards")
-    stats["head"] = tuple(tuple(r) for r in stats["head"])
+    stats["head"] = tuple(stats["head"])
     return LexicalIndex(
         chunks=spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths"),
         postings=_bucketed(spark, f"{path}/postings", shards),
@@ -96,16 +97,14 @@ def write_index(
     """Write documents, chunks, vectors, the lexical tables and a manifest."""
     spark = documents.sparkSession
     documents.write.mode("overwrite").parquet(f"{path}/documents")
-    # In id order, so that a lookup of few ids reads few row groups.
-    chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/chunks")
+    # In position order, so that a lookup of few chunks reads few row groups.
+    with_position(chunks).write.mode("overwrite").parquet(f"{path}/chunks")
     documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents")
-    chunks = spark.read.schema(schemas.CHUNK).parquet(f"{path}/chunks")
+    chunks = spark.read.schema(schemas.STORED_CHUNK).parquet(f"{path}/chunks")
     if embedder is not None:
         (
             chunks.select(
-                "chunk_id", "doc_id", "char_start",
+                "position", "chunk_id", "doc_id",
                 embedder.vector(F.col("text")).alias("embedding"),
             )
             .write.mode("overwrite").parquet(f"{path}/vectors")
@@ -144,7 +143,7 @@ def write_index(
 def load_index(spark: SparkSession, path: str, verify: bool = True) -> StoredIndex:
     """Open an index folder; ids of chunks and vectors have to agree."""
     manifest = {**MANIFEST_DEFAULTS, **_read_json(spark, f"{path}/manifest")}
-    chunks = spark.read.schema(schemas.CHUNK).parquet(f"{path}/chunks")
+    chunks = spark.read.schema(schemas.STORED_CHUNK).parquet(f"{path}/chunks")
     vectors = None
     if manifest.get("embedding_dim"):
         vectors = spark.read.schema(schemas.VECTOR).parquet(f"{path}/vectors")
@@ -189,7 +188,7 @@ def _bucketed(spark: SparkSession, path: str, shards: int) -> DataFrame:
     name = _table_name(path)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet "
-        f"CLUSTERED BY (chunk_id) SORTED BY (term) INTO {shards} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (position) SORTED BY (term) INTO {shards} BUCKETS LOCATION '{path}'"
     )
     return spark.table(name)
 

@@ -1,8 +1,9 @@
 """Index a corpus that keeps arriving.
 
-Chunking works row by row and needs no state. Per micro-batch the new documents,
-chunks, vectors and postings are written in folders named after the batch, so a batch
-that runs again after a failure replaces itself.
+Chunking works row by row and needs no state. Per micro-batch the new chunks and
+vectors are written in folders named after the batch, so a batch that runs again after
+a failure replaces itself. Document frequencies and mean lengths are global; the
+lexical tables are built over all batches when an index is published.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.chunking import chunk_documents
-from gleaner.operators.lexical import (
-    LexicalIndex, build_chunk_lengths, build_postings, corpus_stats, document_frequency,
-)
+from gleaner.operators.lexical import LexicalIndex, with_position
 from gleaner.session import shared_dir
 from gleaner.sources.corpus import as_documents
+from gleaner.sources.index_store import read_lexical, write_lexical
 
 
 def text_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -43,7 +43,6 @@ def ingest(stream: DataFrame, index_path: str, checkpoint: str | None = None,
         part = f"batch={batch_id}"
         chunks.write.mode("overwrite").parquet(f"{index_path}/chunks/{part}")
         stored = batch.sparkSession.read.parquet(f"{index_path}/chunks/{part}")
-        build_postings(stored).write.mode("overwrite").parquet(f"{index_path}/postings/{part}")
         if embedder is not None:
             stored.select(
                 "chunk_id", "doc_id", "char_start",
@@ -57,9 +56,9 @@ def ingest(stream: DataFrame, index_path: str, checkpoint: str | None = None,
     )
 
 
-def ingested_lexical(spark: SparkSession, index_path: str) -> LexicalIndex:
-    """Lexical index over all batches; df and the scalars are global and computed anew."""
+def publish_lexical(spark: SparkSession, index_path: str) -> LexicalIndex:
+    """Build the lexical tables over everything ingested so far."""
     chunks = spark.read.parquet(f"{index_path}/chunks").drop("batch")
-    postings = spark.read.parquet(f"{index_path}/postings").drop("batch")
-    lengths, terms = build_chunk_lengths(chunks), document_frequency(postings)
-    return LexicalIndex(lengths, postings, terms, corpus_stats(lengths, terms))
+    with_position(chunks).write.mode("overwrite").parquet(f"{index_path}/ordered")
+    write_lexical(spark.read.parquet(f"{index_path}/ordered"), f"{index_path}/lexical")
+    return read_lexical(spark, f"{index_path}/lexical")

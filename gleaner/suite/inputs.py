@@ -72,7 +72,7 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
     inner = F.least(F.size(words) - 2, F.lit(4))
     anchors = passages.where(F.size(words) >= 3).select(
         "query_id", "question", inner.alias("n"),
-        F.xxhash64(F.slice(words, 2, inner)).alias("anchor"),
+        F.xxhash64(inner, F.slice(words, 2, inner)).alias("anchor"),
     )
     lengths = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most four values
     tokens = F.col("tokens")
@@ -81,19 +81,17 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
         return F.transform(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(
-                F.lit(n).alias("n"), F.xxhash64(F.slice(tokens, i, n)).alias("anchor")
-            ),
+            lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i, n)),
         )
 
-    nothing = F.array().cast("array<struct<n:int,anchor:bigint>>")
+    nothing = F.array().cast("array<bigint>")
     runs = F.flatten(F.array(nothing, *[runs_of(n) for n in lengths]))
     text = F.col("normalized_text")
     # Stored, so that the second join is planned from the true size of the candidates.
     candidates = write_and_reread(
         docs.select("doc_id", tokenize(text).alias("tokens"))
-        .select("doc_id", F.inline(F.array_distinct(runs)))
-        .join(broadcast_if_small(anchors), ["n", "anchor"])
+        .select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+        .join(broadcast_if_small(anchors), "anchor")
         .select("doc_id", "query_id", "question").distinct(),
         "candidates",
     )

@@ -237,9 +237,14 @@ def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return lexical.bm25_top_k(inp.index(spark, sf).lexical, inp.questions(spark, sf), k)
 
 
+def _with_ids(spark: SparkSession, sf: str, ranked: DataFrame, k: int) -> DataFrame:
+    limit = k * inp.questions(spark, sf).count()
+    return lexical.with_ids(inp.index(spark, sf).lexical, ranked, limit)
+
+
 @query
 def bm25_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    return _bm25(spark, sf, 5).select(
+    return _with_ids(spark, sf, _bm25(spark, sf, 5), 5).select(
         "query_id", _n("rank", "rank"), "chunk_id", "doc_id", _r("score", "score")
     )
 
@@ -248,7 +253,7 @@ def bm25_top_k(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_explanation(spark: SparkSession, sf: str) -> DataFrame:
     asked = inp.questions(spark, sf)
     found = lexical.bm25_explain(inp.index(spark, sf).lexical, asked, _bm25(spark, sf, 3))
-    return found.select(
+    return _with_ids(spark, sf, found, 3).select(
         "query_id", "chunk_id", "rank", "document_length", F.inline("terms")
     ).select(
         "query_id", "chunk_id", _n("rank", "rank"), _n("document_length", "document_length"),
@@ -361,7 +366,8 @@ def fused_score_components(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_top_k(spark: SparkSession, sf: str) -> DataFrame:
     asks = ask(inp.questions(spark, sf), RetrievalConfig("hybrid", 5))
-    return base_ranking(inp.index(spark, sf), asks, inp.EMBEDDER).select(
+    ranked = base_ranking(inp.index(spark, sf), asks, inp.EMBEDDER)
+    return _with_ids(spark, sf, ranked, 5).select(
         "query_id", _n("rank", "rank"), "chunk_id", _r("score", "score", 9)
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import lexical as L
 from gleaner.operators.chunking import chunk_fixed
+from gleaner.session import write_and_reread
 from gleaner.sources.index_store import read_lexical, write_lexical
 
 
@@ -38,12 +39,16 @@ class Okapi:
 
 def in_memory(make_docs, texts):
     docs = make_docs({f"{i:03d}.txt": t for i, t in enumerate(texts)})
-    chunks = chunk_fixed(docs)
-    postings = L.build_postings(chunks).cache()
+    chunks = write_and_reread(L.with_position(chunk_fixed(docs)), "chunks")
+    postings = L.build_postings(chunks)
     lengths, terms = L.build_chunk_lengths(chunks), L.document_frequency(postings)
     return L.LexicalIndex(lengths, postings, terms, L.corpus_stats(lengths, terms))
 
 
+def ranked(index, queries, k):
+    return L.with_ids(index, L.bm25_top_k(index, queries, k), 1000)
+
+
 def ask(spark, questions):
     return spark.createDataFrame(
         [(f"q{i}", q) for i, q in enumerate(questions)], "query_id string, question string"
@@ -65,7 +70,7 @@ QUESTIONS = ["rare rare term", "a z", "alpha", "unknown words", "  ", "same here
 def test_ranking_matches_formula(spark, make_docs, name, k):
     texts = TEXTS[name]
     index, okapi = in_memory(make_docs, texts), Okapi(texts)
-    rows = L.bm25_top_k(index, ask(spark, QUESTIONS), k).collect()
+    rows = ranked(index, ask(spark, QUESTIONS), k).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((int(r["doc_id"][:3]), r["score"], r["rank"]))
@@ -80,7 +85,7 @@ def test_ranking_matches_formula(spark, make_docs, name, k):
 def test_many_chunks_with_zero_fill_from_the_front(spark, make_docs):
     texts = [f"word{i} filler" if i % 7 else f"word{i} needle" for i in range(60)]
     index, okapi = in_memory(make_docs, texts), Okapi(texts)
-    rows = L.bm25_top_k(index, ask(spark, ["word33", "needle", "nothing"]), 12).collect()
+    rows = ranked(index, ask(spark, ["word33", "needle", "nothing"]), 12).collect()
     for i, q in enumerate(["word33", "needle", "nothing"]):
         found = [int(r["doc_id"][:3]) for r in sorted(rows, key=lambda r: r["rank"])
                  if r["query_id"] == f"q{i}"]
@@ -112,7 +117,8 @@ def test_explanation_adds_up_to_the_score(spark, make_docs):
 
 def test_stored_index_scores_without_an_exchange(spark, make_docs, tmp_path):
     texts = [f"word{i % 9} other{i} the" for i in range(40)]
-    chunks = chunk_fixed(make_docs({f"{i:03d}.txt": t for i, t in enumerate(texts)}))
+    docs = make_docs({f"{i:03d}.txt": t for i, t in enumerate(texts)})
+    chunks = write_and_reread(L.with_position(chunk_fixed(docs)), "chunks")
     write_lexical(chunks, str(tmp_path / "lex"), shards=4)
     index = read_lexical(spark, str(tmp_path / "lex"))
     terms = L.weighted_terms(index, L.query_terms(ask(spark, ["word3 the"])))
@@ -120,5 +126,5 @@ def test_stored_index_scores_without_an_exchange(spark, make_docs, tmp_path):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     scoring = plan[:plan.index("BroadcastExchange")]
     assert "hashpartitioning" not in scoring
-    rows = L.bm25_top_k(index, ask(spark, ["word3 the"]), 6).orderBy("rank").collect()
+    rows = ranked(index, ask(spark, ["word3 the"]), 6).orderBy("rank").collect()
     assert [int(r["doc_id"][:3]) for r in rows] == Okapi(texts).top("word3 the", 6)
