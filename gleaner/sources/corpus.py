@@ -42,8 +42,8 @@ def load_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every .md and .txt file below ``root``; the id is the path relative to it."""
     base = root.rstrip("/")
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .text(base).select(_decoded(F.col("_metadata.file_path")).alias("path"), "value")
+        spark.read.option("recursiveFileLookup", True)
+        .text(base, wholetext=True).select(_decoded(F.col("_metadata.file_path")).alias("path"), "value")
     )
     relative = F.substring_index(F.col("path"), f"{_plain(base)}/", -1)
     return as_documents(
