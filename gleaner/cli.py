@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,11 @@ def _judge(args):
 
 
 def _counter():
+    """Exact token counts where the tokenizer and its vocabulary are at hand."""
     try:
         return TiktokenCounter()
-    except ImportError:
+    except (ImportError, OSError) as exc:
+        print(f"counting characters instead of tokens: {type(exc).__name__}", file=sys.stderr)
         return CharCounter()
 
 

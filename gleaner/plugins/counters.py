@@ -27,8 +27,10 @@ class TiktokenCounter:
     """Byte-pair counts from tiktoken; one encoder per Python worker."""
 
     def __init__(self, model: str = "gpt-4o-mini") -> None:
-        import tiktoken  # noqa: F401  fail on the driver, not in a task
+        import tiktoken
 
+        # A missing package or vocabulary shows here, not in a task.
+        tiktoken.encoding_for_model(model)
         self.model = model
         self.name = f"tiktoken-{model}"
 
