@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import has_text, path_order, tokenize
-from gleaner.session import BROADCAST_ROW_LIMIT, row_count_within
+from gleaner.session import BROADCAST_ROW_LIMIT, row_count_within, write_and_reread
 
 # The defaults of Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -206,7 +206,22 @@ def bm25_top_k(
     asked = queries.where(has_text(F.col(text)))
     if index.stats.is_empty or top_k == 0:
         asked = asked.limit(0)
-    raw = query_terms(asked, text)
+    # Scoring groups by two longs; the caller's ids come back with the few ranked rows.
+    numbered = write_and_reread(asked.select(
+        F.monotonically_increasing_id().alias("query_no"), "query_id",
+        F.col(text).alias("question"),
+    ), "questions")
+    ranked = _ranked(
+        index, numbered.select(F.col("query_no").alias("query_id"), "question"), top_k
+    )
+    names = numbered.select("query_no", F.col("query_id").alias("name"))
+    return ranked.join(names, F.col("query_id") == F.col("query_no")).select(
+        F.col("name").alias("query_id"), "position", "score", "rank"
+    )
+
+
+def _ranked(index: LexicalIndex, asked: DataFrame, top_k: int) -> DataFrame:
+    raw = query_terms(asked)
     small = row_count_within(raw, BROADCAST_ROW_LIMIT)
     terms = weighted_terms(index, raw, small)
     if index.stats.mean_idf < 0:
