@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import SPACE, chunk_id, has_text, let, split_lines
+from gleaner.functions.text import chunk_id, has_text, let, split_lines
 
 STRATEGIES = ("fixed_character", "structural", "semantic")
 

@@ -12,7 +12,6 @@ from gleaner.functions.metrics import all_metrics
 from gleaner.functions.prompts import extract_citations
 from gleaner.operators.context import pack_context, with_prompt
 from gleaner.plans.retrieval import RetrievalConfig, ask, retrieve, retrieved_docs
-from gleaner.plugins.rerankers import DEFAULT_RERANKER_MODEL  # noqa: F401  re-exported for callers
 
 METRICS = ("hit", "reciprocal_rank", "context_precision", "context_recall")
 
