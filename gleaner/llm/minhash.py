@@ -2,7 +2,7 @@
 
 Two permutations of DOMAIN places make all signature coordinates: the first deals a shingle its
 place, the second, shifted circularly by k, gives coordinate k. Bands of ROWS coordinates make
-buckets. Texts with equal shingle sets are one representative. Small buckets compare all their
+buckets. Texts of equal words are one representative. Small buckets compare all their
 members; in a larger one, a few leaders at a time meet all members of other components and then
 retire, until the rest of the bucket is one component. So no link between different
 components is lost, and rows per round stay in proportion to the members. Every comparison is on full sets.
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.arrow import batches_of
 from gleaner.llm.graph import components
 from gleaner.session import write_and_reread
 
@@ -26,6 +27,7 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4  # a pair at 0.85 shares no band with probability 4e-7
 DOMAIN = 1 << 20
 SMALL_BUCKET = 16
+BATCH_ROWS = 500  # documents whose sets are in Python at a time
 BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -92,12 +94,14 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per distinct (id, text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = rows.withColumn("set", shingles(words(F.col("text"))))
-    made = made.withColumn("digest", F.sha2(F.array_join(F.sort_array("set"), ","), 256))
-    banded = with_bands(made.where(F.size("set") > 0)).select(
-        "doc_id", F.size("set").cast("long").alias("n_shingles"), "digest", "bands")
-    stored = write_and_reread(banded.distinct(), "bands")
-    # The smallest id stands for all documents of equal sets; aggregated before the shuffle.
+    # The filter reads the text, so that sets are not made a second time for it.
+    made = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("w", words(F.col("text")))
+    made = made.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest"), shingles(F.col("w")).alias("set"))
+    banded = with_bands(made).select("doc_id", F.size("set").cast("long").alias("n_shingles"), "digest", "bands")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        stored = write_and_reread(banded, "bands")
+    stored = stored.distinct()
+    # The smallest id stands for all documents of equal words; aggregated before the shuffle.
     leads = write_and_reread(stored.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     reps = stored.join(leads, (stored["digest"] == leads["digest"]) & stored["doc_id"].eqNullSafe(leads["rep"]), "left_semi")
     in_buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct()
