@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import write_and_reread
+
 MIN_DOCS = 2
 MIN_TOKENS = 6
 DEPTH = 2
@@ -41,7 +43,9 @@ def doomed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = F.transform(F.filter(listed, lambda x: F.size(x["toks"]) >= min_tokens),
                        lambda x: F.struct(x["no"].alias("no"), F.sha2(F.to_json(template(x["toks"])), 256).alias("tpl")))
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.explode(long).alias("l"))
-    lines = lines.select("id", "key", F.col("l.no").alias("no"), F.unhex(F.substring("l.tpl", 1, 32)).alias("tpl"))
+    # Read twice below, so the templates are stored: parsing the lines is the costly part.
+    lines = write_and_reread(
+        lines.select("id", "key", F.col("l.no").alias("no"), F.unhex(F.substring("l.tpl", 1, 32)).alias("tpl")), "templates")
     # By template and document first: a very common template is combined before it meets its like.
     seen = lines.groupBy("tpl", "id").agg(F.min(F.struct("no", "key")).alias("first"))
     recurring = (seen.groupBy("tpl").agg(F.count("*").alias("docs"),
