@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.arrow import batches_of
 from gleaner.llm.graph import components
 from gleaner.session import write_and_reread
 
@@ -192,8 +193,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
                 a, b = q_ids[pairs[:, 0]], ids[pairs[:, 1]]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
-    # One graph and one block of queries per Arrow row; few rows share a task.
-    edges = write_and_reread(visits.mapInPandas(visit, "a long, b long").distinct(), "links")
+    # A row is one graph and one block of queries; a batch holds one row.
+    with batches_of(vectors.sparkSession, 1):
+        edges = write_and_reread(visits.mapInPandas(visit, "a long, b long"), "links").distinct()
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = reps.select(F.col("rep").alias("b"), "copies")
     others = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
