@@ -11,6 +11,8 @@ an empty table writes no file; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 
@@ -108,6 +110,75 @@ class Reader:
         return np.concatenate(out)[start - first * self.block: end - first * self.block]
 
 
+class ChunkEncoder:
+    """Encodes texts by chunks, each distinct chunk once.
+
+    A byte-level tokenizer never lets a piece run from a visible character into white space, so a
+    text may be cut before every run of white space. New chunks are encoded many at a time,
+    joined; the byte lengths of the ids tell where each chunk ends. Tokenizers of another make
+    get whole texts.
+    """
+
+    PLAIN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+    ODD = re.compile(r"[^\S \t-\r]")  # white space beyond ASCII: it may join a run
+    BREAK = re.compile(r"(?<=\S)(?=[ \t-\r])")
+    JOINED = 100_000  # characters encoded at a time
+    KNOWN_CHARS = 8 << 20  # of the chunks that are remembered
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tok, made = Tokenizer.from_str(spec), json.loads(spec)
+        first = made.get("pre_tokenizer") or {}
+        self.by_chunk = (first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+                         and not made.get("normalizer") and not made.get("truncation") and not made.get("padding")
+                         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
+                                     for t in made.get("added_tokens") or ()))
+        # A character of a byte-level token is one byte; added tokens are ASCII here.
+        self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())], np.int64)
+        self.known, self.chars = {}, 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, text: str) -> list[str]:
+        return self.BREAK.split(text) if self.ODD.search(text) else self.PLAIN.findall(text)
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        ids = self._whole(["".join(chunks)])[0]
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        at = np.cumsum(self.width[ids])
+        cut = np.searchsorted(at, ends) + 1
+        if not np.array_equal(at[np.minimum(cut, len(at)) - 1], ends):  # a token of unknown width
+            return [x.tobytes() for x in self._whole(chunks)]
+        data, cut = ids.tobytes(), (4 * cut).tolist()
+        return [data[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        apart = [c for c in chunks if c[0] not in " \t\n\v\f\r"]  # a text's first word
+        self.known.update(zip(apart, (x.tobytes() for x in self._whole(apart))))
+        part, size = [], 0
+        for c in chunks:
+            if c[0] in " \t\n\v\f\r":
+                part.append(c)
+                size += len(c)
+                if size >= self.JOINED:
+                    self.known.update(zip(part, self._joined(part)))
+                    part, size = [], 0
+        if part:
+            self.known.update(zip(part, self._joined(part)))
+        self.chars += sum(map(len, chunks))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_chunk:
+            return self._whole(texts)
+        if self.chars > self.KNOWN_CHARS:
+            self.known, self.chars = {}, 0
+        cut = [self._chunks(t) for t in texts]
+        self._learn(list({c for part in cut for c in part} - self.known.keys()))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, part)), np.uint32) for part in cut]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; returns their manifest (shard, uri, n_docs, n_tokens)."""
@@ -128,15 +199,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tok, out = Tokenizer.from_str(spec), None
+        tok, out = ChunkEncoder(spec), None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"  # a repeated task writes another file
         for pdf in batches:
             for a in range(0, len(pdf), BATCH):
                 part = pdf.iloc[a:a + BATCH]
                 out = out or Writer(uri, bits)
-                made = tok.encode_batch(part["text"].tolist(), add_special_tokens=False)
-                out.add([None if pd.isna(d) else d for d in part["id"]], [np.array([*e.ids, end_id], np.uint32) for e in made])
+                made = tok.encode(part["text"].tolist())
+                end = np.array([end_id], np.uint32)
+                out.add([None if pd.isna(d) else d for d in part["id"]], [np.concatenate([ids, end]) for ids in made])
         if out:
             out.close()
             yield pd.DataFrame({"shard": [shard], "uri": [uri], "n_docs": [len(out.docs)], "n_tokens": [out.n]})
