@@ -21,31 +21,35 @@ from gleaner.session import write_and_reread
 MIN_DOCS = 2
 MIN_TOKENS = 6
 DEPTH = 2
-VARIABLE = r"[0-9]|@|://|^[A-Za-z0-9+/_=-]{24,}$"
+SEPARATORS = r"[ \t\r\f\x0B]+"
+# A whole token, between separators, that holds a digit, @ or ://, or is long and key-like.
+VARIABLE = r"(?<![^ \n])(?:[^ \n]*?(?:[0-9@]|://)[^ \n]*|[A-Za-z+/_=-]{24,}(?![^ \n]))"
 
 
-def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\r\f\x0B]+"), lambda t: t != "")
+def generalised(text: Column) -> Column:
+    """The text with one space between tokens and ``<*>`` for variable ones, in two passes over it."""
+    return F.regexp_replace(F.regexp_replace(text, SEPARATORS, " "), VARIABLE, "<*>")
 
 
-def template(toks: Column, depth: int = DEPTH) -> Column:
-    """struct<n, lead, rest>: the path down the tree and the generalised remainder."""
-    general = F.transform(toks, lambda t: F.when(t.rlike(VARIABLE), F.lit("<*>")).otherwise(t))
-    return F.struct(F.size(toks).alias("n"), F.array_join(F.slice(general, 1, depth), " ").alias("lead"),
-                    F.array_join(F.slice(general, depth + 1, F.greatest(F.size(toks), F.lit(1))), " ").alias("rest"))
+def template(line: Column, depth: int = DEPTH) -> Column:
+    """struct<n, lead, rest> of a generalised line: the path down the tree and the remainder."""
+    lead = F.substring_index(line, " ", depth)
+    return F.struct((F.length(line) - F.length(F.replace(line, F.lit(" "))) + F.when(line == "", 0).otherwise(1)).alias("n"),
+                    lead.alias("lead"), F.substr(line, F.length(lead) + 2).alias("rest"))
 
 
 def doomed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
                  min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, key, drop): the numbers of the lines that go, per document (key: hash of the text)."""
-    text = F.col(text_col)
-    listed = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("no"), tokens(x).alias("toks")))
-    long = F.transform(F.filter(listed, lambda x: F.size(x["toks"]) >= min_tokens),
-                       lambda x: F.struct(x["no"].alias("no"), F.sha2(F.to_json(template(x["toks"])), 256).alias("tpl")))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.explode(long).alias("l"))
+    found = F.transform(F.split(generalised(F.col(text_col)), "\n", -1),
+                        lambda x, i: F.struct(i.alias("no"), template(F.trim(x)).alias("t")))
+    long = F.filter(found, lambda x: x["t"]["n"] >= min_tokens)
+    # Two 64-bit hashes of other seeds; a chance collision needs both to agree.
+    named = F.transform(long, lambda x: F.struct(x["no"].alias("no"), F.struct(
+        F.xxhash64(F.lit(1), x["t"]).alias("a"), F.xxhash64(F.lit(2), x["t"]).alias("b")).alias("tpl")))
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.explode(named).alias("l"))
     # Read twice below, so the templates are stored: parsing the lines is the costly part.
-    lines = write_and_reread(
-        lines.select("id", "key", F.col("l.no").alias("no"), F.unhex(F.substring("l.tpl", 1, 32)).alias("tpl")), "templates")
+    lines = write_and_reread(lines.select("id", "key", "l.no", "l.tpl"), "templates")
     # By template and document first: a very common template is combined before it meets its like.
     seen = lines.groupBy("tpl", "id").agg(F.min(F.struct("no", "key")).alias("first"))
     recurring = (seen.groupBy("tpl").agg(F.count("*").alias("docs"),
