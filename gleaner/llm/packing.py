@@ -11,6 +11,7 @@ an empty table writes no file; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -179,6 +180,12 @@ class ChunkEncoder:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, part)), np.uint32) for part in cut]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(spec: str) -> ChunkEncoder:
+    """One per Python worker, so that its tasks share what is known."""
+    return ChunkEncoder(spec)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; returns their manifest (shard, uri, n_docs, n_tokens)."""
@@ -199,7 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tok, out = ChunkEncoder(spec), None
+        tok, out = _encoder(spec), None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"  # a repeated task writes another file
         for pdf in batches:
