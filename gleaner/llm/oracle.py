@@ -1,3 +1,136 @@
-"""SQL counterparts for DuckDB, where SQL can express a query."""
+"""DuckDB counterparts of the registered queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+Not here: secret scan (model scores), token files, language ID, SentencePiece and the pipeline; tests
+hold those against brute force.
+"""
+
+from __future__ import annotations
+
+from gleaner.llm.licenses import RULES, SENTENCES
+from gleaner.llm.urls import DOMAIN_RULES, PATTERN_RULES
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NOT_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_NOT_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_NOT_ALNUM}') AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS gram
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM pos JOIN win USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+         WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT v, b FROM reach JOIN link ON r = a),
+grouped AS (SELECT v, min(r) AS c FROM reach GROUP BY v),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, v = c AS kept
+FROM grouped LEFT JOIN counted ON a = v
+"""
+
+MINHASH = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+         WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)),
+link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, b FROM reach JOIN link ON r = a),
+grouped AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+SELECT v AS doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, v = c AS kept
+FROM grouped LEFT JOIN size ON doc_id = v
+"""
+
+
+def _licenses() -> str:
+    normal = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    known = ", ".join(f"({_quoted(k)}, {normal.format(_quoted(v))})" for k, v in SENTENCES.items())
+    steps, last, names = [], "ids", []
+    for k, (name, run) in enumerate(sorted(RULES, key=lambda r: (-len(r[1]), r[0]))):
+        wanted = _quoted("," + ",,".join(run) + ",")
+        before = ", ".join(["doc_id", "sentence_ids", *names])
+        names.append(f"hit{k}")
+        steps.append(f"step{k} AS (SELECT {before}, CASE WHEN contains(rest, {wanted}) THEN {_quoted(name)} END AS hit{k}, "
+                     f"replace(rest, {wanted}, ',#,') AS rest FROM {last})")
+        last = f"step{k}"
+    return rf"""
+WITH known(id, sentence) AS (SELECT * FROM (VALUES {known})),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10)) AS l
+    FROM documents)),
+seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY no) AS sentence_ids, string_agg(',' || id || ',', '' ORDER BY no) AS rest
+        FROM lines JOIN known ON {normal.format("line")} = sentence GROUP BY doc_id),
+ids AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rest, '') AS rest
+        FROM documents LEFT JOIN seq USING (doc_id)),
+{", ".join(steps)}
+SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(
+    list_filter([{", ".join(names)}], lambda x: x IS NOT NULL))), ',') AS licenses
+FROM {last}
+"""
+
+
+LINES = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS no, unnest(s) AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, no, line, list_filter(string_split_regex(line, '[ \t\r\f\x0B]+'), lambda x: x <> '') AS toks FROM l),
+g AS (SELECT doc_id, no, line, len(toks) AS n, array_to_string(list_transform(toks, lambda x:
+          CASE WHEN regexp_matches(x, '[0-9]|@|://|^[A-Za-z0-9+/_=-]{24,}$') THEN '<*>' ELSE x END), ' ') AS tpl FROM t),
+often AS (SELECT tpl, min((doc_id, no)) AS home FROM g WHERE n >= 6 GROUP BY tpl HAVING count(DISTINCT doc_id) >= 2),
+judged AS (SELECT g.*, n >= 6 AND home IS NOT NULL AND (doc_id, no) <> home AS gone FROM g LEFT JOIN often USING (tpl)),
+kept AS (SELECT doc_id, count(*) AS n, count_if(gone) AS n_dropped,
+                coalesce(string_agg(CASE WHEN NOT coalesce(gone, false) THEN line END, chr(10) ORDER BY no), '') AS kept_text
+         FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END AS BIGINT) AS n_lines,
+       CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(kept_text) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _urls() -> str:
+    rules = ", ".join(f"({_quoted(h + p)}, {_quoted(v)}, {_quoted(h)}, {_quoted(p)})" for v, h, p in DOMAIN_RULES)
+    method = " OR ".join(f"regexp_matches(host || path, {_quoted(p)})" for _, p, _ in PATTERN_RULES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH u AS (SELECT page_id, {lower.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rule, verdict, h, p) AS (SELECT * FROM (VALUES {rules})),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+         FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {method} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best USING (page_id)
+"""
+
+
+ORACLE = {
+    "op1_decontamination": DECONTAMINATION,
+    "op3_embedding_near_dedup": EMBEDDINGS,
+    "op4_minhash_near_dedup": MINHASH,
+    "op6_license_scan": _licenses(),
+    "op8_line_dedup": LINES,
+    "op9_url_filter": _urls(),
+}
