@@ -9,7 +9,9 @@ sorts first; without labelled rows every document is ``und``; repeated rows are
 further columns are ignored.
 """
 
+import base64
 import io
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import write_and_reread
+
 WINDOW = 64
 HIDDEN = 12
 SAMPLE_DOCS = 400  # labelled documents per language that the network learns from, at most
 SAMPLE_WINDOWS = 8  # windows of each such document, at even distances over the whole text
 EPOCHS = 8
 LANES = 2048
+CALIBRATION_ROWS = 20  # labelled documents of about a length that a threshold rests on, where there are as many
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,11 +159,30 @@ def _lower_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
+def noise_windows(n: int, seed: int = 7) -> list[bytes]:
+    """Windows without a language: encoded bytes, keys and random letters, whole or in pieces."""
+    rng = np.random.default_rng(seed)
+    alphabets = [string.hexdigits[:16], string.ascii_uppercase + string.digits, string.ascii_letters,
+                 string.ascii_letters + string.digits + "+/_-=", string.digits + " .,;:|-+xXeE"]
+    out = []
+    for k in range(n):
+        kind = k % (len(alphabets) + 1)
+        text = (base64.b64encode(rng.bytes(WINDOW)).decode() if kind == len(alphabets)
+                else "".join(rng.choice(list(alphabets[kind]), WINDOW)))
+        step = int(rng.integers(8, 2 * WINDOW))  # beyond a window: one piece
+        text = (" " if k % 2 else "\n").join(text[a:a + step] for a in range(0, len(text), step))
+        out.append(_lower_bytes(text)[:WINDOW])
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          noise: bool = False) -> ByteGru | None:
     """Learns from documents that are not held out: per language the first SAMPLE_DOCS by a hash of
-    the text, SAMPLE_WINDOWS windows of each."""
+    the text, SAMPLE_WINDOWS windows of each. With ``noise`` one more label, ``und``, is learned from
+    made windows without a language."""
     text = F.col(text_col)
     rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    rows = rows.where(F.col(lang_col) != "und") if noise else rows
     labels = sorted(r[0] for r in rows.select(lang_col).distinct().collect())  # one row per language
     if not labels:
         return None
@@ -174,6 +198,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         flat.append(a)
         valid.append(b)
         y.append(np.full(len(a), n))
+    if noise:
+        a, b, _ = _windows(noise_windows(sum(map(len, y)) // len(labels)))
+        labels, flat, valid, y = [*labels, "und"], [*flat, a], [*valid, b], [*y, np.full(len(a), len(labels))]
     model = ByteGru(labels)
     model.fit(np.concatenate(flat), np.concatenate(valid), np.concatenate(y))
     return model
@@ -204,3 +231,32 @@ def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text") -> D
     return (docs.withColumn("__l", made)
             .withColumn("lang_pred", F.when(lettered, F.col("__l.lang")).otherwise("und"))
             .withColumn("score", F.when(lettered, F.col("__l.score")).otherwise(0.0)).drop("__l"))
+
+
+def with_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that are in a learned language; columns stay.
+
+    A document goes when it has no letter, when ``und`` is its most probable label, or when the pooled
+    probability of its language is below what labelled documents of about its length (by powers of two)
+    reach. Where no model could be learned, only documents without a letter go.
+    """
+    model = train(docs, text_col=text_col, lang_col=lang_col, noise=True)
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    # Read twice, so stored: the network runs once over each text.
+    judged = write_and_reread(predict(docs, model, text_col).withColumn(
+        "__size", F.floor(F.log2(F.octet_length(text_col) + F.lit(1))).cast("int")), "judged").where("lang_pred <> 'und'")
+    lows = (judged.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "und")).groupBy("__size")
+            .agg(F.count("*").alias("n"), F.percentile_approx("score", 0.001, 100_000).alias("low"))
+            .orderBy("__size").collect())  # some thirty rows
+    least = F.create_map(*[F.lit(x) for k in range(32) for x in (k, threshold(k, lows))])
+    return judged.where(F.col("score") >= F.element_at(least, F.col("__size"))).select(*docs.columns)
+
+
+def threshold(size: int, lows: list) -> float:
+    """Nine tenths of the least ``low`` among the nearest sizes that hold CALIBRATION_ROWS rows together."""
+    for reach in range(33):
+        near = [r for r in lows if abs(r["__size"] - size) <= reach]
+        if sum(r["n"] for r in near) >= CALIBRATION_ROWS or reach == 32:
+            return 0.9 * min((r["low"] for r in near), default=0.0)
+    return 0.0
