@@ -1,8 +1,9 @@
 """Documents to encoded training text: five stages, each written as Parquet and reread.
 
-Language ID drops what is in no learned language (without labelled rows: what has no letter); line dedup keeps the first of recurring lines; one document
-of each group of near copies (Jaccard 0.8 or more on five words) stays; contaminated documents go; the
-rest is encoded and decoded with SentencePiece. A document left without text by the line
+Language ID drops what is in no learned language (without labelled rows: what has no letter); line
+dedup keeps the first of recurring lines; one document of each group of near copies (Jaccard 0.8 or
+more on five words) stays; contaminated documents go; the rest is encoded and decoded with
+SentencePiece. A document left without text by the line
 stage goes. Empty tables and null columns pass every stage.
 """
 
