@@ -1,13 +1,14 @@
-"""Line dedup with a log-template tree of fixed depth.
+"""Line dedup by masked lines: exact but for variable fields.
 
-A line goes down the tree by its number of tokens, then by its leading tokens; variable fields
-(tokens with digits, addresses, long hexadecimal or key-like strings) become ``<*>``. The
-leaf and the generalised tokens are its template. A template that stands in MIN_DOCS documents or
-more is recurring: its first line (smallest document id, then line) stays, all others go, so that
-no text is lost altogether.
+Variable fields (tokens with digits, addresses, long hexadecimal or key-like strings) become
+``<*>``; lines equal after that are one template. Lines that differ in plain words are different
+templates. A template needs MIN_WORDS tokens with a letter, and more of them than variable fields;
+a line short of that (rows of numbers) stands for itself alone, unmasked. A template that stands in
+MIN_DOCS documents or more is recurring, a line under MIN_TOKENS tokens from SHORT_DOCS on, unmasked:
+its first line (smallest document id, then line) stays, all others go, so that no text is lost altogether.
 
-Cases: null texts stay null and empty ones empty; lines under MIN_TOKENS tokens stay (a short
-sentence recurs by chance); rows equal in id and text are one document for counting and keep or
+Cases: null texts stay null and empty ones empty; lines without a letter and under MIN_TOKENS tokens
+stay (blank lines, braces, rules); rows equal in id and text are one document for counting and keep or
 lose the same lines; an empty table stays empty; further columns pass through.
 """
 
@@ -20,50 +21,68 @@ from gleaner.session import write_and_reread
 
 MIN_DOCS = 2
 MIN_TOKENS = 6
-DEPTH = 2
+MIN_WORDS = 3
+SHORT_DOCS = 1_000  # a short sentence recurs by chance
 SEPARATORS = r"[ \t\r\f\x0B]+"
 # A whole token, between separators, that holds a digit, @ or ://, or is long and key-like.
 VARIABLE = r"(?<![^ \n])(?:[^ \n]*?(?:[0-9@]|://)[^ \n]*|[A-Za-z+/_=-]{24,}(?![^ \n]))"
+WORD = r"(?<![^ ])[^ ]*\p{L}[^ ]*"
 
 
-def generalised(text: Column) -> Column:
-    """The text with one space between tokens and ``<*>`` for variable ones, in two passes over it."""
-    return F.regexp_replace(F.regexp_replace(text, SEPARATORS, " "), VARIABLE, "<*>")
+def spaced(text: Column) -> Column:
+    """The text with one space between tokens."""
+    return F.regexp_replace(text, SEPARATORS, " ")
 
 
-def template(line: Column, depth: int = DEPTH) -> Column:
-    """struct<n, lead, rest> of a generalised line: the path down the tree and the remainder."""
-    lead = F.substring_index(line, " ", depth)
-    return F.struct((F.length(line) - F.length(F.replace(line, F.lit(" "))) + F.when(line == "", 0).otherwise(1)).alias("n"),
-                    lead.alias("lead"), F.substr(line, F.length(lead) + 2).alias("rest"))
+def masked(text: Column) -> Column:
+    """A spaced text with ``<*>`` for variable tokens."""
+    return F.regexp_replace(text, VARIABLE, "<*>")
+
+
+def _count(line: Column, part: str) -> Column:
+    return ((F.length(line) - F.length(F.replace(line, F.lit(part)))) / len(part)).cast("int")
+
+
+def template(line: Column, general: Column, min_tokens: int = MIN_TOKENS) -> Column:
+    """struct<text, short, general> of a spaced line and its masked form; null where the line always stays."""
+    short = _count(line, " ") + 1 < min_tokens
+    words = F.size(F.regexp_extract_all(general, F.lit(WORD), 0))
+    rich = F.when(F.contains(general, F.lit("<*>")), (words >= MIN_WORDS) & (words > _count(general, "<*>"))).otherwise(True)
+    made = (F.when(short, F.struct(line.alias("text"), F.lit(True).alias("short"), F.lit(False).alias("general")))
+            .when(rich, F.struct(general.alias("text"), F.lit(False).alias("short"), F.lit(True).alias("general")))
+            .otherwise(F.struct(line.alias("text"), F.lit(False).alias("short"), F.lit(False).alias("general"))))
+    return F.when(~short | line.rlike(r"\p{L}"), made)
 
 
 def doomed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                 min_tokens: int = MIN_TOKENS) -> DataFrame:
+                 min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """(id, key, drop): the numbers of the lines that go, per document (key: hash of the text)."""
-    found = F.transform(F.split(generalised(F.col(text_col)), "\n", -1),
-                        lambda x, i: F.struct(i.alias("no"), template(F.trim(x)).alias("t")))
-    long = F.filter(found, lambda x: x["t"]["n"] >= min_tokens)
+    # Masking keeps line ends, so both forms have the same lines.
+    both = F.arrays_zip(F.split("__line", "\n", -1).alias("line"), F.split("__general", "\n", -1).alias("general"))
+    found = F.transform(both, lambda x, i: F.struct(i.alias("no"), template(
+        F.trim(x["line"]), F.trim(x["general"]), min_tokens).alias("t")))
+    kept = F.filter(found, lambda x: x["t"].isNotNull())
     # Two 64-bit hashes of other seeds; a chance collision needs both to agree.
-    named = F.transform(long, lambda x: F.struct(x["no"].alias("no"), F.struct(
-        F.xxhash64(F.lit(1), x["t"]).alias("a"), F.xxhash64(F.lit(2), x["t"]).alias("b")).alias("tpl")))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.explode(named).alias("l"))
+    named = F.transform(kept, lambda x: F.struct(x["no"].alias("no"), F.struct(
+        F.xxhash64(F.lit(1), x["t"]).alias("a"), F.xxhash64(F.lit(2), x["t"]).alias("b"), x["t"]["short"].alias("short")).alias("tpl")))
+    lines = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), spaced(F.col(text_col)).alias("__line"))
+             .withColumn("__general", masked(F.col("__line"))).select("id", "key", F.explode(named).alias("l")))
     # Read twice below, so the templates are stored: parsing the lines is the costly part.
     lines = write_and_reread(lines.select("id", "key", "l.no", "l.tpl"), "templates")
     # By template and document first: a very common template is combined before it meets its like.
     seen = lines.groupBy("tpl", "id").agg(F.min(F.struct("no", "key")).alias("first"))
     recurring = (seen.groupBy("tpl").agg(F.count("*").alias("docs"),
                                          F.min(F.struct("id", "first.no", "first.key")).alias("home"))
-                 .where(F.col("docs") >= min_docs).select("tpl", "home"))
+                 .where(F.col("docs") >= F.when(F.col("tpl.short"), short_docs).otherwise(min_docs)).select("tpl", "home"))
     gone = lines.join(recurring, "tpl").where(
         ~(F.col("id").eqNullSafe(F.col("home.id")) & (F.col("no") == F.col("home.no")) & (F.col("key") == F.col("home.key"))))
     return gone.groupBy("id", "key").agg(F.collect_set("no").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                min_tokens: int = MIN_TOKENS) -> DataFrame:
+                min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """Adds ``kept_text``, ``n_lines`` and ``n_dropped``; all rows and columns stay."""
-    drop = doomed_lines(docs, id_col, text_col, min_docs, min_tokens).select(
+    drop = doomed_lines(docs, id_col, text_col, min_docs, min_tokens, short_docs).select(
         F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("drop").alias("__drop"))
     held = docs.withColumn("__hash", F.xxhash64(text_col))
     joined = held.join(drop, held[id_col].eqNullSafe(drop["__id"]) & (held["__hash"] == drop["__key"]), "left")
