@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import tokenize
+from gleaner.functions.text import SPACE_RUN, tokenize
 from gleaner.operators.chunking import chunk_fixed
 from gleaner.plugins.embedders import HashEmbedder
 from gleaner.session import broadcast_if_small, shared_dir, spread, write_and_reread
@@ -15,6 +15,7 @@ from gleaner.sources.corpus import as_documents
 from gleaner.sources.index_store import StoredIndex, load_index, write_index
 
 EMBEDDER = HashEmbedder(8)
+GRAM = 3  # letters of a short passage's longest word that serve as its key
 _stored: dict[tuple, object] = {}
 
 
@@ -66,9 +67,11 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     The inner words of a passage stand in the document as whole words, so a run of
     four of them is an equi-key; only documents that share it are searched. Passages
-    of two words or less have no inner word and are left to the caller.
+    of two words or less have no inner word; see ``_short_candidates``.
     """
     words = tokenize(F.col("question"))
+    text = F.col("normalized_text")
+    short = passages.where(F.size(words) <= 2).select("query_id", "question")
     inner = F.least(F.size(words) - 2, F.lit(4))
     anchors = passages.where(F.size(words) >= 3).select(
         "query_id", "question", inner.alias("n"),
@@ -86,7 +89,6 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     nothing = F.array().cast("array<bigint>")
     runs = F.flatten(F.array(nothing, *[runs_of(n) for n in lengths]))
-    text = F.col("normalized_text")
     # Stored, so that the second join is planned from the true size of the candidates.
     candidates = write_and_reread(
         docs.select("doc_id", tokenize(text).alias("tokens"))
@@ -95,12 +97,58 @@ def containing_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
         .select("doc_id", "query_id", "question").distinct(),
         "candidates",
     )
+    if not short.isEmpty():
+        candidates = candidates.unionByName(
+            write_and_reread(_short_candidates(docs, short), "candidates")
+        )
     return (
         docs.select("doc_id", text).join(candidates, "doc_id")
         .where(F.contains(text, F.col("question"))).select("query_id", "doc_id").distinct()
     )
 
 
+def _short_candidates(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, query_id, question) of documents with a token that holds the longest word.
+
+    The words of a short passage may be parts of tokens, so the first letters of its
+    longest word meet the letter runs of every distinct token, and the token must hold
+    the whole word. A passage without a word is sought in every document.
+    """
+    def words(text: Column) -> Column:
+        return F.filter(F.split(text, SPACE_RUN), lambda t: t != "")
+
+    longest = F.array_max(F.transform(
+        words(F.col("question")), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))
+    ))
+    asked = short.withColumn("longest", longest)
+    anchors = asked.where(F.col("longest").isNotNull()).select(
+        "query_id", "question", F.col("longest.word").alias("word"),
+        F.substring("longest.word", 1, GRAM).alias("gram"),
+    )
+    lengths = range(1, GRAM + 1)
+
+    def grams(token: Column, n: int) -> Column:
+        starts = F.when(F.length(token) >= n, F.sequence(F.lit(1), F.length(token) - n + 1))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.substring(token, i, F.lit(n)),
+        )
+
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("normalized_text")))).alias("token"))
+    token = F.col("token")
+    holders = write_and_reread(
+        tokens.select("token").distinct()
+        .select("token", F.explode(F.array_distinct(
+            F.flatten(F.array(*[grams(token, n) for n in lengths])))).alias("gram"))
+        .join(broadcast_if_small(anchors), "gram").where(F.contains(token, F.col("word")))
+        .select("token", "query_id", "question").distinct(),
+        "holders",
+    )
+    found = tokens.join(broadcast_if_small(holders), "token").select("doc_id", "query_id", "question").distinct()
+    blank = asked.where(F.col("longest").isNull() & F.col("question").isNotNull()).select("query_id", "question")
+    return found.unionByName(docs.select("doc_id").crossJoin(blank))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, question, gold_doc_ids): documents that hold the question verbatim."""
     def make() -> DataFrame:
