@@ -94,18 +94,19 @@ def with_prompt(packed: DataFrame) -> DataFrame:
 
 
 def smallest_contrast_budget(
-    results: DataFrame, questions: DataFrame, required: str, top_budget: int = 4000, counter=None
+    results: DataFrame, questions: DataFrame, required: str, counter=None
 ) -> DataFrame:
     """(query_id, budget): smallest budget that selects and omits something and keeps
-    every document of the ``required`` array column.
+    every document of the ``required`` array column; no row where none does.
 
-    What is selected changes only where some subset of block sizes fits exactly, so
-    trying each budget from one up is needed; a query has at most k blocks, and each
-    budget is one fold over them inside the query's row.
+    What is selected changes only where the room left for blocks is the size of some
+    subset of them, so those sizes are tried, up to the sum of all. Equal sums are one,
+    so there are never more of them than tokens; each is one fold inside the query's row.
     """
     counter = counter or CharCounter()
-    joined = questions.join(result_blocks(results, counter), "query_id").withColumn(
-        "question_tokens", counter.count(F.col("question"))
+    joined = questions.join(result_blocks(results, counter), "query_id").select(
+        "query_id", required, counter.count(F.col("question")).alias("question_tokens"),
+        F.transform("blocks", lambda b: F.struct(b["chunk_id"], b["doc_id"], b["tokens"])).alias("blocks"),
     )
 
     def works(budget: Column) -> Column:
@@ -119,12 +120,13 @@ def smallest_contrast_budget(
 
         return let(_fold(F.col("blocks"), budget, F.col("question_tokens")), check)
 
+    sums = F.aggregate(
+        "blocks", F.array(F.lit(0)),
+        lambda s, b: F.array_distinct(F.concat(s, F.transform(s, lambda x: x + b["tokens"]))),
+    )
     return (
-        joined.select(
-            "query_id", "blocks", "question_tokens", required,
-            F.explode(F.sequence(F.lit(1), F.lit(top_budget))).alias("budget"),
-        )
-        .where(F.col("budget") >= PROMPT_OVERHEAD + F.col("question_tokens"))
+        joined.withColumn("budget", F.explode(sums))
+        .withColumn("budget", F.col("budget") + PROMPT_OVERHEAD + F.col("question_tokens"))
         .where(works(F.col("budget")))
         .groupBy("query_id").agg(F.min("budget").alias("budget"))
     )

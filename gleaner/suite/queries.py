@@ -478,11 +478,12 @@ def context_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def smallest_budgets(spark: SparkSession, sf: str) -> DataFrame:
-    """Smallest budget that keeps the best document and leaves something out."""
+    """Smallest budget that keeps the best document and leaves something out; null where none does."""
     results = _results(spark, sf)
     required = results.where(F.col("rank") == 1).select("query_id", F.array("doc_id").alias("must"))
     asked = inp.questions(spark, sf).join(required, "query_id")
-    return context.smallest_contrast_budget(results, asked, "must").select(
+    found = context.smallest_contrast_budget(results, asked, "must")
+    return asked.select("query_id").join(found, "query_id", "left").select(
         "query_id", _n("budget", "budget")
     )
 
