@@ -1,10 +1,9 @@
-"""Embedding near-dedup: small-world graphs per shard, widened beams, exact cosine, components.
+"""Embedding near-dedup: block products between shards, exact cosine, components.
 
 Equal vectors are one representative with a count. Representatives of one label are dealt into shards;
-each shard gets a hierarchical graph, built and searched for many vectors in step. Every block of
-queries visits every shard of its label from its own number on (links are symmetric). A query's
-beam doubles while it is full of linked vectors, and a block's beams double while an audit by brute force finds a
-missed link. Links are checked by cosine in double precision.
+every block of queries visits every shard of its label from its own number on (links are symmetric). A visit
+compares all of its pairs: a product in single precision finds what may be linked, and cosine in double
+precision decides.
 
 Cases: null labels and vectors that are null, zero, of another width or with null or non-finite
 components link with nothing; repeated ids with equal rows are one vector; an empty table gives
@@ -23,129 +22,23 @@ from gleaner.llm.graph import components
 from gleaner.session import write_and_reread
 
 SHARD = 2_000
-DEGREE = 12
-BEAM = 24
-AUDIT = 48
 BATCH = 256
+SLACK = 1e-4  # beyond the rounding of a single-precision product
 
 
-class SmallWorld:
-    """Layers of neighbour lists over unit vectors; layer 0 holds all of them."""
-
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 5):
-        self.v = vectors.astype(np.float32)
-        self.degree = degree
-        rng = np.random.default_rng(seed)
-        n = len(vectors)
-        level = np.minimum((-np.log(rng.random(n)) / np.log(degree)).astype(int), 4)
-        if n:
-            level[0] = level.max()  # the entry point
-        self.adj = [np.full((n, degree * (2 if k == 0 else 1)), -1, np.int32) for k in range(level.max(initial=0) + 1)]
-        for a in range(0, n, BATCH):
-            new = np.arange(a, min(n, a + BATCH))
-            for k, adj in enumerate(self.adj):
-                part = new[level[new] >= k]
-                if len(part):
-                    self._insert(part, np.flatnonzero(level[:a] >= k), k, adj)
-
-    def _insert(self, new: np.ndarray, old: np.ndarray, layer: int, adj: np.ndarray) -> None:
-        ids = np.repeat(new[None, :], len(new), 0)
-        sims = self.v[new] @ self.v[new].T
-        np.fill_diagonal(sims, -2)
-        if len(old):
-            found, close = self.search(self.v[new], BEAM, layer)
-            ids, sims = np.concatenate([ids, found], 1), np.concatenate([sims, np.where(found < 0, -2, close)], 1)
-        take = np.argsort(-sims, 1, kind="stable")[:, : self.degree]
-        ids, sims = np.take_along_axis(ids, take, 1), np.take_along_axis(sims, take, 1)
-        ids = np.where(sims > -2, ids, -1)
-        adj[new, : ids.shape[1]] = ids
-        for a, row in zip(new, ids):  # links back; a full list gives up its farthest
-            for b in row[row >= 0]:
-                if a in adj[b]:
-                    continue
-                free = np.flatnonzero(adj[b] < 0)
-                if len(free):
-                    adj[b, free[0]] = a
-                else:
-                    near = self.v[adj[b]] @ self.v[b]
-                    far = int(near.argmin())
-                    if near[far] < self.v[a] @ self.v[b]:
-                        adj[b, far] = a
-
-    def search(self, q: np.ndarray, beam: int, stop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) and similarities of up to ``beam`` near vectors of layer ``stop``."""
-        at = np.zeros(len(q), np.int64)
-        for k in range(len(self.adj) - 1, stop, -1):
-            ids, sims = self._beam(q, at[:, None], 1, self.adj[k])
-            at = ids[:, 0]
-        return self._beam(q, at[:, None], beam, self.adj[stop])
-
-    def _beam(self, q, start, beam, adj):
-        n_q, rows = len(q), np.arange(len(q))
-        ids = np.full((n_q, beam), -1, np.int64)
-        sims = np.full((n_q, beam), -2, np.float32)
-        open_ = np.zeros((n_q, beam), bool)
-        seen = np.zeros((n_q, len(self.v)), bool)
-        ids[:, 0], open_[:, 0] = start[:, 0], True
-        sims[:, 0] = np.einsum("qd,qd->q", q, self.v[start[:, 0]])
-        seen[rows, start[:, 0]] = True
-        while True:
-            live = np.flatnonzero(open_.any(1))
-            if not len(live):
-                return ids, sims
-            best = np.where(open_[live], sims[live], -3).argmax(1)
-            open_[live, best] = False
-            near = adj[ids[live, best]].astype(np.int64)
-            known = (near < 0) | seen[live[:, None], np.maximum(near, 0)]
-            seen[np.repeat(live, near.shape[1])[~known.ravel()], near.ravel()[~known.ravel()]] = True
-            close = np.einsum("qd,qmd->qm", q[live], self.v[np.maximum(near, 0)])
-            close[known] = -2
-            all_ids = np.concatenate([ids[live], np.where(known, -1, near)], 1)
-            all_sims = np.concatenate([sims[live], close], 1)
-            all_open = np.concatenate([open_[live], ~known], 1)
-            top = np.argpartition(-all_sims, beam - 1, 1)[:, :beam]
-            ids[live] = np.take_along_axis(all_ids, top, 1)
-            sims[live] = np.take_along_axis(all_sims, top, 1)
-            open_[live] = np.take_along_axis(all_open, top, 1)
-
-
-def linked_pairs(graph: SmallWorld, shard: np.ndarray, queries: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """(query, member) at cosine >= threshold, in double precision; both arrays are raw float64 rows."""
+def linked_pairs(shard: np.ndarray, queries: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows (query, member) at cosine >= threshold, in double precision; both arrays are raw float64 rows."""
     unit_s = shard / np.linalg.norm(shard, axis=1)[:, None]
     unit_q = queries / np.linalg.norm(queries, axis=1)[:, None]
-    low, n = np.float32(threshold - 1e-4), len(shard)
-    audit = np.unique(np.linspace(0, len(queries) - 1, AUDIT).astype(int))
-    truth = (unit_q[audit] @ unit_s.T) >= threshold
-    beam, todo, out = min(BEAM, n), np.arange(len(queries)), []
-    while True:
-        full = []
-        out = [(i, j) for i, j in out if i not in set(todo.tolist())] if len(out) else []
-        for a in range(0, len(todo), BATCH):
-            part = todo[a:a + BATCH]
-            if beam >= n:
-                ids = np.tile(np.arange(n), (len(part), 1))
-                sims = unit_q[part] @ unit_s.T
-            else:
-                ids, sims = graph.search(unit_q[part].astype(np.float32), beam)
-            near = (sims >= low) & (ids >= 0)
-            if beam < n:
-                full += part[near.all(1)].tolist()
-            r, c = np.nonzero(near)
-            exact = np.einsum("pd,pd->p", unit_q[part[r]], unit_s[ids[r, c]]) >= threshold
-            out += zip(part[r[exact]].tolist(), ids[r[exact], c[exact]].tolist())
-        if beam >= n:
-            return out
-        got = np.zeros_like(truth)
-        where = {int(x): k for k, x in enumerate(audit)}
-        for i, j in out:
-            if i in where:
-                got[where[i], j] = True
-        filled = set(full)
-        missed = [x for k, x in enumerate(audit) if x not in filled and (truth[k] & ~got[k]).any()]
-        if not missed and not full:
-            return out
-        beam = min(n, beam * 2)
-        todo = np.arange(len(queries)) if missed else np.array(sorted(filled))
+    single_s, single_q = unit_s.astype(np.float32), unit_q.astype(np.float32)
+    out = [np.empty((0, 2), np.int64)]
+    for a in range(0, len(queries), BATCH):
+        r, c = np.nonzero(single_q[a:a + BATCH] @ single_s.T >= np.float32(threshold - SLACK))
+        for k in range(0, len(r), BATCH * BATCH):  # a group of near copies links with whole rows
+            q, m = r[k:k + BATCH * BATCH] + a, c[k:k + BATCH * BATCH]
+            exact = np.einsum("pd,pd->p", unit_q[q], unit_s[m]) >= threshold
+            out.append(np.stack([q[exact], m[exact]], 1))
+    return np.concatenate(out)
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
@@ -169,14 +62,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         v = np.array(pdf["v"].tolist(), np.float64)
-        graph = SmallWorld(v / np.linalg.norm(v, axis=1)[:, None])
         one = pdf.iloc[0]
         return pd.DataFrame({"label": [one["label"]], "width": [one["width"]], "shard": [one["shard"]],
-                             "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()],
-                             "layers": [[x.tobytes() for x in graph.adj]]})
+                             "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
 
     blocks = write_and_reread(dealt.select("label", "width", "shard", "rep", "v").groupBy("label", "width", "shard").applyInPandas(
-        block, "label string, width int, shard int, ids binary, vectors binary, layers array<binary>"), "graphs")
+        block, "label string, width int, shard int, ids binary, vectors binary"), "blocks")
     q = blocks.select("label", "width", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     visits = blocks.join(q, ["label", "width"]).where("q_shard >= shard").repartition(F.xxhash64("label", "width", "shard", "q_shard"))
 
@@ -186,14 +77,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
                 v = np.frombuffer(r.vectors).reshape(-1, r.width)
                 queries = np.frombuffer(r.q_vectors).reshape(-1, r.width)
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                graph = SmallWorld.__new__(SmallWorld)
-                graph.v, graph.degree = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32), DEGREE
-                graph.adj = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in r.layers]
-                pairs = np.array(linked_pairs(graph, v, queries, threshold), np.int64).reshape(-1, 2)
+                pairs = linked_pairs(v, queries, threshold)
                 a, b = q_ids[pairs[:, 0]], ids[pairs[:, 1]]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
-    # A row is one graph and one block of queries; a batch holds one row.
+    # A row is one shard and one block of queries; a batch holds one row.
     with batches_of(vectors.sparkSession, 1):
         edges = write_and_reread(visits.mapInPandas(visit, "a long, b long"), "links").distinct()
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
