@@ -126,6 +126,61 @@ FROM u LEFT JOIN best USING (page_id)
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, b) >> 1, 3988292384::UBIGINT * (xor(a, b) & 1))"
+    return f"xor(list_reduce({steps}, lambda a, b: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, {_leaf("text")} AS leaf, {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS bad,
+           {_leaf("replace(text, chr(10), '')")} AS changed FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (
+    SELECT 0 AS k, source, i, n, leaf AS h FROM ranked
+    UNION ALL SELECT k + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY k, source, i // 3, n),
+tops AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+    SELECT 0 AS k, i, n, subroot AS h FROM tops
+    UNION ALL SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY k, i // 3, n),
+below AS (
+    SELECT a.k, a.source, a.i, string_agg(CASE WHEN b.i < a.i THEN b.h END, '' ORDER BY b.i) AS l,
+           string_agg(CASE WHEN b.i > a.i THEN b.h END, '' ORDER BY b.i) AS r
+    FROM tree a JOIN tree b ON a.k = b.k AND a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+above AS (
+    SELECT a.k, a.i, string_agg(CASE WHEN b.i < a.i THEN b.h END, '' ORDER BY b.i) AS l,
+           string_agg(CASE WHEN b.i > a.i THEN b.h END, '' ORDER BY b.i) AS r
+    FROM crown a JOIN crown b ON a.k = b.k AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+height AS (SELECT source, max(k) AS k FROM tree GROUP BY source),
+steps AS (
+    SELECT r.source, r.i, b.k, coalesce(l, '') AS l, coalesce(b.r, '') AS r
+    FROM ranked r JOIN below b ON r.source IS NOT DISTINCT FROM b.source AND b.i = r.i // CAST(3 ** b.k AS BIGINT)
+    UNION ALL
+    SELECT r.source, r.i, height.k + a.k, coalesce(a.l, ''), coalesce(a.r, '')
+    FROM ranked r JOIN tops ON r.source IS NOT DISTINCT FROM tops.source JOIN height ON r.source IS NOT DISTINCT FROM height.source
+    JOIN above a ON a.i = tops.i // CAST(3 ** a.k AS BIGINT)),
+proofs AS (SELECT source, i, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY source, i),
+fold AS (
+    SELECT source, i, 0 AS k, CASE WHEN bad THEN changed ELSE leaf END AS h FROM ranked
+    UNION ALL SELECT f.source, f.i, f.k + 1, sha256(s.l || f.h || s.r)
+    FROM fold f JOIN steps s ON f.source IS NOT DISTINCT FROM s.source AND f.i = s.i AND f.k = s.k),
+folded AS (SELECT source, i, arg_max(h, k) AS h FROM fold GROUP BY source, i),
+root AS (SELECT h AS root FROM crown WHERE n = 1)
+SELECT r.doc_id, r.leaf, tops.subroot, root.root, sha256(coalesce(proof, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root.root AS verified
+FROM ranked r JOIN tops ON r.source IS NOT DISTINCT FROM tops.source CROSS JOIN root
+JOIN folded ON r.source IS NOT DISTINCT FROM folded.source AND r.i = folded.i
+LEFT JOIN proofs ON r.source IS NOT DISTINCT FROM proofs.source AND r.i = proofs.i
+"""
+
+
 ORACLE = {
     "op1_decontamination": DECONTAMINATION,
     "op3_embedding_near_dedup": EMBEDDINGS,
@@ -133,4 +188,5 @@ ORACLE = {
     "op6_license_scan": _licenses(),
     "op8_line_dedup": LINES,
     "op9_url_filter": _urls(),
+    "op12_merkle_manifest": MANIFEST,
 }

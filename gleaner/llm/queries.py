@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, minhash, packing, pieces, secrets, urls
+from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, manifest, minhash, packing, pieces, secrets, urls
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -71,6 +71,12 @@ def sentencepiece_codec(spark, sf_dir):
     return pieces.encode_pieces(docs, public_tokenizers.path(PIECE_BPE)).drop("text")
 
 
+def merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = manifest.manifest(_table(spark, sf_dir, "documents"), tampered, F.replace("text", F.lit("\n"), F.lit("")))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -88,5 +94,6 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_url_filter": url_filter,
     "op10_sentencepiece": sentencepiece_codec,
+    "op12_merkle_manifest": merkle_manifest,
     "pipeline": pipeline,
 }
