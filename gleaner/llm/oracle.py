@@ -180,6 +180,25 @@ JOIN folded ON r.source IS NOT DISTINCT FROM folded.source AND r.i = folded.i
 LEFT JOIN proofs ON r.source IS NOT DISTINCT FROM proofs.source AND r.i = proofs.i
 """
 
+CONVERSATIONS = f"""
+WITH turns AS (
+    SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'d': digest, 'n': chars}} ORDER BY turn NULLS FIRST, digest) AS t FROM turns GROUP BY conv_id),
+h AS (SELECT *, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM own),
+seq AS (SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) AS t FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+pre AS (SELECT conv_id, d, len(t) = d AS ends, t[d].n AS chars, array_to_string(list_transform(t[1:d], lambda x: x.d), '') AS k
+        FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM seq)),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(coalesce(chars, 0)) AS chars,
+                coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM pre GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[:32 * (d - 1)] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+total AS (SELECT a.d, a.k, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+          FROM full_node a JOIN full_node b ON b.d >= a.d AND starts_with(b.k, a.k) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN total USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[:32 * (f.d - 1)]
+"""
+
 
 ORACLE = {
     "op1_decontamination": DECONTAMINATION,
@@ -189,4 +208,5 @@ ORACLE = {
     "op8_line_dedup": LINES,
     "op9_url_filter": _urls(),
     "op12_merkle_manifest": MANIFEST,
+    "op13_conversation_trie": CONVERSATIONS,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, manifest, minhash, packing, pieces, secrets, urls
+from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, manifest, minhash, packing, pieces, secrets, tries, urls
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -77,6 +77,11 @@ def merkle_manifest(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def conversation_trie(spark, sf_dir):
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return tries.prefix_nodes(tries.rebuilt(_table(spark, sf_dir, "conversations"), taken.cast("int"))).drop("key")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -95,5 +100,6 @@ QUERIES = {
     "op9_url_filter": url_filter,
     "op10_sentencepiece": sentencepiece_codec,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_conversation_trie": conversation_trie,
     "pipeline": pipeline,
 }
