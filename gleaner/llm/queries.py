@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, manifest, minhash, packing, pieces, secrets, tries, urls
+from gleaner.llm import decontaminate, embeddings, langid, licenses, lines, manifest, minhash, packing, pieces, secrets, toxicity, tries, urls
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -71,6 +71,11 @@ def sentencepiece_codec(spark, sf_dir):
     return pieces.encode_pieces(docs, public_tokenizers.path(PIECE_BPE)).drop("text")
 
 
+def toxicity_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     found = manifest.manifest(_table(spark, sf_dir, "documents"), tampered, F.replace("text", F.lit("\n"), F.lit("")))
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_url_filter": url_filter,
     "op10_sentencepiece": sentencepiece_codec,
+    "op11_toxicity": toxicity_scores,
     "op12_merkle_manifest": merkle_manifest,
     "op13_conversation_trie": conversation_trie,
     "pipeline": pipeline,
