@@ -1,11 +1,16 @@
-"""Okapi BM25 over chunk tables.
+"""Okapi BM25 over chunk tables, pruned without losing a rank.
 
 Chunks are known by ``position``, a number that grows in document order and so also
-decides ties. Postings are sharded by it: a chunk's postings always share a partition,
-scores are summed and cut to the top k inside a shard, and only k rows per query and
-shard meet in the final merge. Written to a table, postings are bucketed by position
-and sorted by term, which keeps that sharding on disk and lets parquet statistics skip
-row groups without query terms.
+decides ties. The postings of a term are cut into blocks by position: a block holds the
+chunks of one grid cell (GRID numbers in a row) and, beside them, their largest term
+frequency and smallest length, from which an upper bound of any score in it follows.
+Blocks are partitioned by a hash of the term, so that a query reads the folders of its own
+terms only, and a frequent term is as many rows as there are cells.
+
+A ranking takes four steps: block headers alone give every query an upper bound per
+cell; the cells with the highest bounds are added up, and the k-th best sum is the
+threshold; only cells that can still reach it are added up as well; the chunks that
+come out on top get their exact scores.
 """
 
 from __future__ import annotations
@@ -18,15 +23,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import has_text, path_order, tokenize
-from gleaner.session import BROADCAST_ROW_LIMIT, row_count_within, write_and_reread
+from gleaner.session import BROADCAST_ROW_LIMIT, broadcast_if_small, row_count_within, write_and_reread
 
 # The defaults of Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
-# Scores that agree to this many steps per unit count as ties, so that the order
-# in which a shard adds up doubles cannot change a ranking.
+# Similarities that agree to this many steps per unit count as ties, so that the order
+# in which a block product adds up doubles cannot change a ranking.
 TIE_STEPS = 1e9
 
+# Positions in a cell of the grid (a power of two), and cells scored to find a threshold.
+GRID_BITS = 3
+SEED_CELLS = 8
+# Bounds and scores are sums of the same parts in another order; a bound counts as
+# reached this much below the threshold.
+SLACK = 1e-9
+# Postings in a file of the stored index, folders at least, and parts of a frequent term
+# where query terms are too many to broadcast.
+FILE_POSTINGS, LEAST_SHARDS, SLICES = 4_000_000, 8, 16
+
 # Chunks remembered from the start of a corpus: enough for a top 100.
 HEAD_CHUNKS = 200
 
@@ -53,13 +68,14 @@ class CorpusStats:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """chunks(position, chunk_id, doc_id, char_start, dl), postings(position, dl, term, tf),
-    terms(term, df)"""
+    """chunks(position, chunk_id, doc_id, char_start, dl), terms(term, df),
+    blocks(shard, term, cell, n, max_tf, min_dl, entries)"""
 
     chunks: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: CorpusStats
+    shards: int = LEAST_SHARDS
 
 
 def tie_key(score: Column) -> Column:
@@ -79,19 +95,52 @@ def with_position(chunks: DataFrame) -> DataFrame:
     )
 
 
-def build_postings(chunks: DataFrame, shards: int | None = None) -> DataFrame:
-    """(position, dl, term, tf), sharded by position.
+def shard_of(term: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
+def cell_of(position: Column) -> Column:
+    return F.shiftright(position, GRID_BITS)
+
+
+def shards_for(tokens: int) -> int:
+    return min(max(LEAST_SHARDS, -(-tokens // FILE_POSTINGS)), 4096)
+
+
+def term_frequencies(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token array: runs of the sorted tokens."""
+    def bind(value: Column, of) -> Column:
+        return F.transform(F.array(value), of)[0]
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        last = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (t[i - 1] != F.get(t, i)))
+        return bind(last, lambda e: F.transform(e, lambda i, k: F.struct(
+            t[i - 1].alias("term"), (i - F.when(k == 0, 0).otherwise(e[k - 1])).cast("int").alias("tf"))))
 
-    The one shuffle moves every chunk once; counting then happens inside a shard.
+    return F.when(F.size(tokens) > 0, bind(F.array_sort(tokens), runs))
+
+
+def build_blocks(chunks: DataFrame, shards: int = LEAST_SHARDS, slices: int = 1) -> DataFrame:
+    """(shard, term, cell, n, max_tf, min_dl, entries) of (position, text).
+
+    Frequencies are counted inside a chunk's row; the one shuffle brings a term's postings
+    of a range of cells together, so that no partition holds all of a frequent term.
     """
-    slim = chunks.select("position", "text")
-    sharded = slim.repartition(shards, "position") if shards else slim.repartition("position")
-    tokens = F.col("tokens")
-    return (
-        sharded.withColumn("tokens", tokenize(F.col("text")))
-        .select("position", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-        .groupBy("position", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    tokens = tokenize(F.col("text"))
+    cell = cell_of(F.col("position"))
+    postings = (
+        chunks.select("position", tokens.alias("tokens"))
+        .select("position", F.size("tokens").alias("dl"), F.inline(term_frequencies(F.col("tokens"))))
+        .select(shard_of(F.col("term"), shards).alias("shard"), F.pmod(F.xxhash64(F.shiftright(cell, 10)), F.lit(slices)).alias("slice"),
+                "term", cell.alias("cell"), F.struct("position", "dl", "tf").alias("entry"))
     )
+    # Cells of a range share a slice: keys of the grouping contain those of the shuffle.
+    grouped = postings.repartition(shards * slices, "shard", "slice").groupBy("shard", "slice", "term", "cell").agg(
+        F.count("*").alias("n"), F.max("entry.tf").alias("max_tf"), F.min("entry.dl").alias("min_dl"),
+        F.sort_array(F.collect_list("entry")).alias("entries"),
+    )
+    return grouped.drop("slice")
 
 
 def build_chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -101,9 +150,9 @@ def build_chunk_lengths(chunks: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(postings: DataFrame) -> DataFrame:
-    """How many chunks hold each term; combined map-side before the shuffle."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(blocks: DataFrame) -> DataFrame:
+    """How many chunks hold each term; read from block headers, combined map-side."""
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def raw_idf(df: Column, chunk_count: Column) -> Column:
@@ -141,11 +190,12 @@ def _head(chunk_lengths: DataFrame, n: int) -> list[int]:
 # ---------------------------------------------------------------- queries
 
 def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
-    """(query_id, term, term_no, query_frequency); blank queries have no rows."""
+    """(query_id, term, term_no, places, query_frequency); blank queries have no rows."""
     return (
         queries.select("query_id", F.posexplode(tokenize(F.col(text))).alias("pos", "term"))
         .groupBy("query_id", "term")
-        .agg(F.count("*").cast("int").alias("query_frequency"), F.min("pos").alias("term_no"))
+        .agg(F.count("*").cast("int").alias("query_frequency"), F.min("pos").alias("term_no"),
+             F.sort_array(F.collect_list("pos")).alias("places"))
     )
 
 
@@ -154,7 +204,7 @@ def weighted_terms(index: LexicalIndex, terms: DataFrame, small: bool = True) ->
     asked = terms.select("term").distinct()
     known = index.terms.join(F.broadcast(asked) if small else asked, "term", "left_semi")
     return terms.join(known, "term", "left").select(
-        "query_id", "term", "term_no", "query_frequency",
+        "query_id", "term", "term_no", "places", "query_frequency",
         F.coalesce("df", F.lit(0)).alias("df"),
         F.coalesce(floored_idf(F.col("df"), index.stats), F.lit(0.0)).alias("idf"),
     )
@@ -166,19 +216,93 @@ def contribution(idf: Column, tf: Column, dl: Column, stats: CorpusStats, k1=K1,
     return idf * (tf * (k1 + 1.0) / (tf + norm))
 
 
-def _scores(postings: DataFrame, terms: DataFrame, stats: CorpusStats) -> DataFrame:
-    """Summed scores per query and chunk; no exchange while postings stay sharded."""
-    part = F.col("query_frequency") * contribution(
-        F.col("idf"), F.col("tf"), F.col("dl"), stats
+def _met(index: LexicalIndex, terms: DataFrame, small: bool, *columns: str) -> DataFrame:
+    """Block columns beside the query terms that ask for them; only their folders are read."""
+    blocks = index.blocks.select("shard", "term", "cell", *columns)
+    asked = terms.where("df > 0").select(
+        "query_id", "term", "query_frequency", "idf", shard_of(F.col("term"), index.shards).alias("shard"))
+    if small:
+        return blocks.join(F.broadcast(asked), ["shard", "term"])
+    # A frequent term meets its many queries in SLICES places.
+    part = F.pmod("cell", F.lit(SLICES)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("part")
+    return blocks.withColumn("part", part).join(asked.select("*", parts), ["shard", "term", "part"])
+
+
+def _bounds(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """(query_id, cell, bound): no chunk of the cell scores more; reads headers only."""
+    bound = F.col("query_frequency") * contribution(F.col("idf"), F.col("max_tf"), F.col("min_dl"), index.stats)
+    return _met(index, terms, small, "max_tf", "min_dl").groupBy("query_id", "cell").agg(F.sum(bound).alias("bound"))
+
+
+def _scores(blocks: DataFrame, wanted: DataFrame, stats: CorpusStats) -> DataFrame:
+    """(query_id, position, score) of ``wanted(query_id, cell, shard, term, places, idf)``.
+
+    Parts are added in the order of the question's tokens, a repeated one each time. With
+    a column ``candidates`` only the positions in it are scored.
+    """
+    parts = blocks.select("shard", "term", "cell", F.col("entries").alias("found")).join(wanted, ["shard", "term", "cell"])
+    if "candidates" in wanted.columns:
+        parts = parts.withColumn("found", F.filter("found", lambda e: F.array_contains("candidates", e["position"])))
+    part = contribution(F.col("idf"), F.col("e.tf"), F.col("e.dl"), stats).alias("part")
+    rows = parts.select("query_id", "places", "idf", F.explode("found").alias("e")).select(
+        "query_id", F.col("e.position").alias("position"), "places", part)
+    in_order = F.sort_array(F.flatten(F.collect_list(
+        F.transform("places", lambda p: F.struct(p.alias("place"), F.col("part").alias("part"))))))
+    return rows.groupBy("query_id", "position").agg(in_order.alias("parts")).select(
+        "query_id", "position", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+
+
+def _wanted(cells: DataFrame, terms: DataFrame, shards: int) -> DataFrame:
+    return cells.join(terms.where("df > 0"), "query_id").select(
+        *cells.columns, shard_of(F.col("term"), shards).alias("shard"), "term", "places", "idf")
+
+
+def _sums(index: LexicalIndex, terms: DataFrame, top_k: int, small: bool) -> DataFrame:
+    """(query_id, position, part): added-up scores of every chunk that can be among a query's top k."""
+    cells = write_and_reread(_bounds(index, terms, small), "cells")
+    best = W.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+    seeds = write_and_reread(
+        cells.withColumn("no", F.row_number().over(best)).where(F.col("no") <= max(SEED_CELLS, top_k))
+        .select("query_id", "cell"), "seeds")
+    first = write_and_reread(_partial_sums(index, terms, seeds, small), "sums")
+    # Ties with the threshold may stand in front of it, so equal bounds stay.
+    reach = F.col("threshold").isNull() | (F.col("bound") * (1 + SLACK) >= F.col("threshold"))
+    open_cells = (
+        cells.join(_thresholds(first, top_k), "query_id", "left").where(reach)
+        .join(seeds, ["query_id", "cell"], "left_anti").select("query_id", "cell")
     )
-    return (
-        postings.join(terms, "term")
-        .groupBy("position", "query_id").agg(F.sum(part).alias("score"))
+    return first.unionByName(_partial_sums(index, terms, write_and_reread(open_cells, "open"), small))
+
+
+def _thresholds(sums: DataFrame, k: int) -> DataFrame:
+    """(query_id, threshold): the k-th best sum, where there are as many positive ones."""
+    order = W.partitionBy("query_id").orderBy(F.desc("part"))
+    kth = sums.withColumn("no", F.row_number().over(order)).where((F.col("no") == k) & (F.col("part") > 0))
+    return kth.select("query_id", F.col("part").alias("threshold"))
+
+
+def _pruned_scores(index: LexicalIndex, terms: DataFrame, top_k: int, small: bool) -> DataFrame:
+    """Exact scores of the chunks whose sums reach a query's k-th best."""
+    sums = write_and_reread(_sums(index, terms, top_k, small), "sums")
+    reach = F.col("threshold").isNull() | (F.col("part") * (1 + SLACK) >= F.col("threshold"))
+    chunks = (
+        sums.join(write_and_reread(_thresholds(sums, top_k), "thresholds"), "query_id", "left").where(reach)
+        .groupBy("query_id", cell_of(F.col("position")).alias("cell")).agg(F.collect_list("position").alias("candidates"))
     )
+    return _scores(index.blocks, _wanted(write_and_reread(chunks, "candidates"), terms, index.shards), index.stats)
+
+
+def _partial_sums(index: LexicalIndex, terms: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
+    """(query_id, position, part): what the query terms add up to in chunks of ``cells``, in any order."""
+    part = F.col("query_frequency") * contribution(F.col("idf"), F.col("e.tf"), F.col("e.dl"), index.stats)
+    met = _met(index, terms, small, "entries").join(broadcast_if_small(cells), ["query_id", "cell"])
+    return (met.select("query_id", "idf", "query_frequency", F.explode("entries").alias("e"))
+            .groupBy("query_id", F.col("e.position").alias("position")).agg(F.sum(part).alias("part")))
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc(tie_key(F.col("score"))), "position")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "position")
     ranked = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "position", "score", "rank")
 
@@ -223,12 +347,10 @@ def bm25_top_k(
 def _ranked(index: LexicalIndex, asked: DataFrame, top_k: int) -> DataFrame:
     raw = query_terms(asked)
     small = row_count_within(raw, BROADCAST_ROW_LIMIT)
-    terms = weighted_terms(index, raw, small)
+    terms = write_and_reread(weighted_terms(index, raw, small), "terms")
     if index.stats.mean_idf < 0:
-        return _top(_scores(*_with_zero_postings(index, asked, terms), index.stats), top_k)
-    best = _top(
-        _scores(index.postings, F.broadcast(terms) if small else terms, index.stats), top_k
-    )
+        return _top(_all_scores(index, asked, terms), top_k)
+    best = _top(_pruned_scores(index, terms, top_k, small), top_k)
     zeros = asked.select(
         "query_id", F.explode(_first_chunks(index, 2 * top_k - 1)).alias("position"),
         F.lit(0.0).alias("score"),
@@ -248,19 +370,17 @@ def with_ids(index: LexicalIndex, ranked: DataFrame, result_limit: int) -> DataF
     )
 
 
-def _with_zero_postings(
-    index: LexicalIndex, asked: DataFrame, terms: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Postings and query terms that also meet in an empty term worth nothing."""
-    blank = index.chunks.select(
-        "position", "dl", F.lit("").alias("term"), F.lit(0).alias("tf")
-    )
-    everywhere = asked.select(
-        "query_id", F.lit("").alias("term"), F.lit(0).alias("term_no"),
-        F.lit(0).alias("query_frequency"), F.lit(0).cast("long").alias("df"),
-        F.lit(0.0).alias("idf"),
-    )
-    return index.postings.unionByName(blank), terms.unionByName(everywhere)
+def _all_scores(index: LexicalIndex, asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """Scores of all chunks, where a match can be worth less than none."""
+    blank = F.lit("")
+    lengths = index.chunks.groupBy(cell_of(F.col("position")).alias("cell")).agg(
+        F.collect_list(F.struct("position", "dl", F.lit(0).alias("tf"))).alias("entries"))
+    everywhere = lengths.select(shard_of(blank, index.shards).alias("shard"), blank.alias("term"), "cell", "entries")
+    blocks = index.blocks.select("shard", "term", "cell", "entries").unionByName(everywhere)
+    nothing = asked.select("query_id", blank.alias("term"), F.array(F.lit(0)).alias("places"), F.lit(0.0).alias("idf"))
+    known = terms.where("df > 0").select("query_id", "term", "places", "idf").unionByName(nothing)
+    cells = blocks.select("shard", "term", "cell").join(known, "term")
+    return _scores(blocks, cells, index.stats)
 
 
 def bm25_explain(
@@ -268,26 +388,28 @@ def bm25_explain(
 ) -> DataFrame:
     """Per result: chunk length and, per distinct query term, every factor of its score.
 
-    ``results`` is read once: its rows, with their query's terms attached, pick the
-    postings of the ranked chunks out of one scan.
+    Results ask for the blocks of their query's terms in their own cell.
     """
     raw = query_terms(queries, text)
-    terms = weighted_terms(index, raw, row_count_within(raw, BROADCAST_ROW_LIMIT))
+    terms = write_and_reread(weighted_terms(index, raw, row_count_within(raw, BROADCAST_ROW_LIMIT)), "terms")
     per_query = terms.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("term_no", "term", "query_frequency", "df", "idf")))
         .alias("query_terms")
     )
-    wanted = results.select("query_id", "position", "rank", "score").join(per_query, "query_id")
-    asked_for = F.exists("query_terms", lambda q: q["term"] == F.col("term"))
+    ranked = write_and_reread(results.select("query_id", "position", "rank", "score"), "ranked")
+    wanted = ranked.select("query_id", "position", cell_of(F.col("position")).alias("cell")).join(
+        terms.where("df > 0").select("query_id", "term", shard_of(F.col("term"), index.shards).alias("shard")), "query_id")
+    entry = F.get(F.filter("entries", lambda e: e["position"] == F.col("position")), F.lit(0))
+    hits = (
+        index.blocks.select("shard", "term", "cell", "entries").join(wanted, ["shard", "term", "cell"])
+        .select("query_id", "position", "term", entry["tf"].alias("tf")).where("tf is not null")
+        .groupBy("query_id", "position").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("hits"))
+    )
+    lengths = index.chunks.select("position", F.col("dl").alias("document_length"))
     found = (
-        index.postings.join(wanted, "position")
-        .groupBy("query_id", "position")
-        .agg(
-            F.first("rank").alias("rank"), F.first("score").alias("score"),
-            F.first("dl").alias("document_length"), F.first("query_terms").alias("query_terms"),
-            F.map_from_entries(F.collect_list(F.when(asked_for, F.struct("term", "tf"))))
-            .alias("hits"),
-        )
+        ranked.join(lengths, "position").join(per_query, "query_id")
+        .join(hits, ["query_id", "position"], "left")
+        .withColumn("hits", F.coalesce("hits", F.from_json(F.lit("{}"), "map<string,int>")))
     )
 
     def explained(q: Column) -> Column:

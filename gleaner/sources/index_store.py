@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.operators.lexical import (
-    CorpusStats, LexicalIndex, build_chunk_lengths, build_postings, corpus_stats,
-    document_frequency, with_position,
+    FILE_POSTINGS, CorpusStats, LexicalIndex, build_blocks, build_chunk_lengths, corpus_stats,
+    document_frequency, shards_for, with_position,
 )
 
 # The index format and what a manifest without these keys means.
@@ -22,7 +21,10 @@ MANIFEST_DEFAULTS = {
     "index_backend": "numpy", "distance_metric": "cosine", "backend_identity": "numpy",
 }
 
-_POSTINGS = "position BIGINT, dl INT, term STRING, tf INT"
+_BLOCKS = (
+    "term STRING, cell BIGINT, n BIGINT, max_tf INT, min_dl INT, "
+    "entries ARRAY<STRUCT<position: BIGINT, dl: INT, tf: INT>>, shard INT"
+)
 _LENGTHS = "position BIGINT, chunk_id STRING, doc_id STRING, char_start INT, dl INT"
 _TERMS = "term STRING, df BIGINT"
 
@@ -39,28 +41,23 @@ class StoredIndex:
 
 
 def write_lexical(chunks: DataFrame, path: str, shards: int | None = None) -> CorpusStats:
-    """Postings bucketed by position and sorted by term, chunk lengths, df table, scalars.
+    """Blocks of postings in folders by term hash, chunk lengths, df table, scalars.
 
-    ``chunks`` carries a stored ``position``.
+    ``chunks`` carries a stored ``position``. The number of folders follows the tokens.
     """
     spark = chunks.sparkSession
-    n = shards or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    name = _table_name(f"{path}/postings")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (
-        build_postings(chunks, n).write.mode("overwrite").format("parquet")
-        .bucketBy(n, "position").sortBy("term").option("path", f"{path}/postings")
-        .saveAsTable(name)
-    )
-    postings = _bucketed(spark, f"{path}/postings", n)
     build_chunk_lengths(chunks).write.mode("overwrite").parquet(f"{path}/chunk_lengths")
-    document_frequency(postings).write.mode("overwrite").parquet(f"{path}/terms")
-    stats = corpus_stats(
-        spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths"),
-        spark.read.schema(_TERMS).parquet(f"{path}/terms"),
+    lengths = spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths")
+    tokens = lengths.agg(F.sum("dl")).first()[0] or 0
+    n = shards or shards_for(tokens)
+    slices = max(1, -(-tokens // (FILE_POSTINGS * n)))
+    (
+        build_blocks(chunks, n, slices).sortWithinPartitions("shard", "term", "cell")
+        .write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
     )
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+    document_frequency(blocks).write.mode("overwrite").parquet(f"{path}/terms")
+    stats = corpus_stats(lengths, spark.read.schema(_TERMS).parquet(f"{path}/terms"))
     _write_json(spark, f"{path}/stats", {**asdict(stats), "shards": n})
     return stats
 
@@ -71,9 +68,10 @@ def read_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     stats["head"] = tuple(stats["head"])
     return LexicalIndex(
         chunks=spark.read.schema(_LENGTHS).parquet(f"{path}/chunk_lengths"),
-        postings=_bucketed(spark, f"{path}/postings", shards),
+        blocks=spark.read.schema(_BLOCKS).parquet(f"{path}/blocks"),
         terms=spark.read.schema(_TERMS).parquet(f"{path}/terms"),
         stats=CorpusStats(**stats),
+        shards=shards,
     )
 
 
@@ -178,21 +176,6 @@ def check_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> None:
 
 # ---------------------------------------------------------------- helpers
 
-def _table_name(path: str) -> str:
-    """One catalog entry per folder, however often it is opened."""
-    return f"gleaner_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
-
-
-def _bucketed(spark: SparkSession, path: str, shards: int) -> DataFrame:
-    """Declare the bucket layout of a postings folder so scans come out sharded."""
-    name = _table_name(path)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet "
-        f"CLUSTERED BY (position) SORTED BY (term) INTO {shards} BUCKETS LOCATION '{path}'"
-    )
-    return spark.table(name)
-
-
 def _write_json(spark: SparkSession, path: str, value: dict) -> None:
     """One JSON document through Spark's commit protocol: complete or absent."""
     spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode(

@@ -59,19 +59,19 @@ idfs AS (
 
 BM25 = TERMS + f""",
 asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS question FROM benchmark),
-qterms AS (
-  SELECT query_id, term, count(*) AS qf
-  FROM (SELECT query_id, unnest({_tokens('question')}) AS term FROM asked) GROUP BY ALL),
+qtok AS (SELECT query_id, {_tokens('question')} AS toks FROM asked),
+qplace AS (SELECT query_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS place FROM qtok),
+qterms AS (SELECT query_id, term, count(*) AS qf FROM qplace GROUP BY ALL),
 matched AS (
   SELECT query_id, chunk_id, doc_id, char_start,
-         sum(qf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score
-  FROM postings JOIN qterms USING (term) JOIN idfs USING (term), stats GROUP BY ALL),
+         list_reduce(list(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) ORDER BY place), lambda a, b: a + b) AS score
+  FROM postings JOIN qplace USING (term) JOIN idfs USING (term), stats GROUP BY ALL),
 scored AS (
   SELECT a.query_id, c.chunk_id, c.doc_id, c.char_start, coalesce(m.score, 0) AS score
   FROM asked a CROSS JOIN chunks c
   LEFT JOIN matched m ON m.query_id = a.query_id AND m.chunk_id = c.chunk_id),
 lexical AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9 + 0.5) DESC,
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
            string_split(doc_id, '/'), char_start) AS rank
   FROM scored),
 results AS (
@@ -739,3 +739,24 @@ parts AS (
   FROM results JOIN asked USING (query_id) WHERE rank <= 3 GROUP BY query_id, question)""", """
 SELECT query_id, (generate_subscripts(lines, 1) - 1)::BIGINT AS line_no, unnest(lines) AS line
 FROM parts""")
+
+# Bytes of a float32 from its value: sign, exponent and mantissa, low byte first.
+ORACLE["collection_fingerprint"] = _with("""
+parts AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+guess AS (SELECT vec_id, i, x, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x)))::BIGINT END AS g FROM parts),
+expo AS (SELECT vec_id, i, x, CASE WHEN x = 0 THEN 0 WHEN abs(x) >= 2.0 ** (g + 1) THEN g + 1 WHEN abs(x) < 2.0 ** g THEN g - 1 ELSE g END AS e
+         FROM guess),
+bits AS (SELECT vec_id, i, CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + (e + 127) * 8388608
+                + (abs(x) * 2.0 ** (23 - e))::BIGINT - 8388608 END::BIGINT AS b FROM expo),
+hexed AS (SELECT vec_id, string_agg(printf('%02x%02x%02x%02x', b & 255, (b >> 8) & 255, (b >> 16) & 255, (b >> 24) & 255), '' ORDER BY i) AS h
+          FROM bits GROUP BY vec_id),
+keyed AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS no,
+                 sha256(length(CAST(vec_id AS VARCHAR)) || ':' || vec_id || ':' || coalesce(h, CASE WHEN embedding IS NULL THEN '-' ELSE '' END)) AS digest
+          FROM embeddings LEFT JOIN hexed USING (vec_id)),
+tree AS (
+  SELECT no, digest, count(*) OVER () AS n FROM keyed
+  UNION ALL SELECT no // 1024, sha256(string_agg(digest, '' ORDER BY no)), (n + 1023) // 1024 FROM tree WHERE n > 1 GROUP BY no // 1024, n)
+""", """
+SELECT (SELECT count(*) FROM embeddings)::BIGINT AS vectors,
+       sha256('cosine:' || (SELECT count(*) FROM embeddings) || ':' || (SELECT coalesce(max(len(embedding)), 0) FROM embeddings) || ':'
+              || coalesce((SELECT digest FROM tree WHERE n = 1), '')) AS fingerprint""", recursive=True)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -34,15 +35,15 @@ class Okapi:
 
     def top(self, query, k):
         s = self.score(query)
-        return sorted(range(len(s)), key=lambda i: (-round(s[i], 9), i))[:k] if query.split() else []
+        return sorted(range(len(s)), key=lambda i: (-s[i], i))[:k] if query.split() else []
 
 
 def in_memory(make_docs, texts):
     docs = make_docs({f"{i:03d}.txt": t for i, t in enumerate(texts)})
     chunks = write_and_reread(L.with_position(chunk_fixed(docs)), "chunks")
-    postings = L.build_postings(chunks)
-    lengths, terms = L.build_chunk_lengths(chunks), L.document_frequency(postings)
-    return L.LexicalIndex(lengths, postings, terms, L.corpus_stats(lengths, terms))
+    blocks = write_and_reread(L.build_blocks(chunks), "blocks")
+    lengths, terms = L.build_chunk_lengths(chunks), L.document_frequency(blocks)
+    return L.LexicalIndex(lengths, blocks, terms, L.corpus_stats(lengths, terms))
 
 
 def ranked(index, queries, k):
@@ -115,16 +116,69 @@ def test_explanation_adds_up_to_the_score(spark, make_docs):
     assert best["document_length"] == 5 and best["k1"] == 1.5 and best["b"] == 0.75
 
 
-def test_stored_index_scores_without_an_exchange(spark, make_docs, tmp_path):
-    texts = [f"word{i % 9} other{i} the" for i in range(40)]
-    docs = make_docs({f"{i:03d}.txt": t for i, t in enumerate(texts)})
+def stored(spark, make_docs, texts, path, shards=4):
+    docs = make_docs({f"{i:04d}.txt": t for i, t in enumerate(texts)})
     chunks = write_and_reread(L.with_position(chunk_fixed(docs)), "chunks")
-    write_lexical(chunks, str(tmp_path / "lex"), shards=4)
-    index = read_lexical(spark, str(tmp_path / "lex"))
-    terms = L.weighted_terms(index, L.query_terms(ask(spark, ["word3 the"])))
-    scores = L._scores(index.postings, F.broadcast(terms), index.stats)
-    plan = scores._jdf.queryExecution().executedPlan().toString()
-    scoring = plan[:plan.index("BroadcastExchange")]
-    assert "hashpartitioning" not in scoring
+    write_lexical(chunks, path, shards=shards)
+    return read_lexical(spark, path)
+
+
+def test_term_frequencies_are_counts(spark):
+    texts = ["b a b", "", "x", "é a é é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", L.term_frequencies(F.split("text", " ")).alias("tf")).collect()
+    for r in rows:
+        assert {x["term"]: x["tf"] for x in r["tf"]} == dict(Counter(r["text"].split(" ")))
+    assert spark.range(1).select(L.term_frequencies(F.array().cast("array<string>")).alias("t")).first()["t"] is None
+
+
+def test_stored_index_reads_the_folders_of_query_terms(spark, make_docs, tmp_path):
+    texts = [f"word{i % 9} other{i} the" for i in range(40)]
+    index = stored(spark, make_docs, texts, str(tmp_path / "lex"))
+    terms = write_and_reread(L.weighted_terms(index, L.query_terms(ask(spark, ["word3 the"]))), "terms")
+    plan = L._bounds(index, terms, True)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "max_tf" in line and "FileScan" in line)
+    assert "dynamicpruning" in scan and "entries" not in scan
     rows = ranked(index, ask(spark, ["word3 the"]), 6).orderBy("rank").collect()
-    assert [int(r["doc_id"][:3]) for r in rows] == Okapi(texts).top("word3 the", 6)
+    assert [int(r["doc_id"][:4]) for r in rows] == Okapi(texts).top("word3 the", 6)
+
+
+@pytest.fixture(scope="module")
+def zipf(spark, make_docs, tmp_path_factory):
+    """Chunks whose words are frequent or rare, and questions that mix both."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(5, 60))) for _ in range(2000)]
+    questions = [" ".join(rng.choices(words, weights, k=6) + [f"w{rng.randint(100, 399)}"] * 2) for _ in range(12)] + ["w0 w1 w2", "w399"]
+    return stored(spark, make_docs, texts, str(tmp_path_factory.mktemp("lex") / "z"), shards=8), texts, questions
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pruned_ranking_equals_the_formula(spark, zipf, monkeypatch, broadcast):
+    index, texts, questions = zipf
+    if not broadcast:
+        monkeypatch.setattr(L, "BROADCAST_ROW_LIMIT", 3)
+    okapi = Okapi(texts)
+    rows = L.with_ids(index, L.bm25_top_k(index, ask(spark, questions), 5), 1000).collect()
+    for i, q in enumerate(questions):
+        found = [int(r["doc_id"][:4]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == f"q{i}"]
+        assert found == okapi.top(q, 5), q
+
+
+def test_most_pairs_are_never_scored(spark, zipf):
+    index, _, questions = zipf
+    terms = write_and_reread(L.weighted_terms(index, L.query_terms(ask(spark, questions))), "terms")
+    cells = L._bounds(index, terms, True).select("query_id", "cell").distinct()
+    every = L._scores(index.blocks, L._wanted(cells, terms, index.shards), index.stats)
+    added = L._sums(index, terms, 5, True).count()
+    assert added < 0.7 * every.count() and L._pruned_scores(index, terms, 5, True).count() < 0.01 * added
+
+
+def test_scores_add_up_in_the_order_of_the_question(spark, zipf):
+    """Bit for bit: parts are added token by token."""
+    index, texts, questions = zipf
+    okapi, rows = Okapi(texts), L.with_ids(index, L.bm25_top_k(index, ask(spark, questions), 5), 1000).collect()
+    for r in rows:
+        # The floor of frequent words rests on a mean, whose own order of addition is free.
+        assert r["score"] == pytest.approx(okapi.score(questions[int(r["query_id"][1:])])[int(r["doc_id"][:4])], rel=1e-14)
