@@ -37,13 +37,15 @@ def local_session(cores: int | str = "*", app_name: str = "gleaner", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made, one per application.
+    Only where that setting is absent and the session runs on one machine (tests) a
+    temporary folder is made, one per application; a cluster without the setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/gleaner-{spark.sparkContext.applicationId}"
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="gleaner-")
     return _local_roots[app]

@@ -787,6 +787,15 @@ def collection_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def collection_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of all stored embeddings in id order."""
+    vectors = inp.vectors(spark, sf).withColumn("position", F.col("vec_id"))
+    value = collection.vector_fingerprint(vectors)
+    return vectors.agg(_n(F.count("*"), "vectors")).withColumn("fingerprint", F.lit(value))
+
+
+@query
+def index_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of the vectors of the stored index."""
     value = collection.vector_fingerprint(inp.index(spark, sf).vectors)
     chunks = inp.index(spark, sf).chunks
     return chunks.agg(_n(F.count("*"), "chunks")).withColumn("fingerprint", F.lit(value))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import collection, files
 from gleaner.operators.chunking import chunk_fixed
+from gleaner.operators.digest import ordered_digest
 from gleaner.operators.prepare import extract_documents, extract_qa_pairs, first_per_key
 from gleaner.plugins.embedders import HashEmbedder
+from gleaner.session import shared_dir
 from gleaner.sources import catalog, corpus, jsonl
 from gleaner.sources.index_store import check_vectors, load_index, write_index
 
@@ -194,6 +196,65 @@ def test_collection_life_cycle(spark, stored, tmp_path):
     assert other != second.source_fingerprint
 
 
+def test_digest_repeats_over_calls_partitions_and_files(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 16).select(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    rows.write.parquet(str(tmp_path / "many"))
+    rows.coalesce(3).sort("digest").write.parquet(str(tmp_path / "few"))
+    many, few = (spark.read.parquet(str(tmp_path / n)) for n in ("many", "few"))
+    values = {ordered_digest(t, "position") for t in (many, many, many.repartition(7), few)}
+    level = [r["digest"] for r in rows.orderBy("position").collect()]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i:i + 1024]).encode()).hexdigest() for i in range(0, len(level), 1024)]
+    assert values == set(level)
+    assert ordered_digest(many.limit(0), "position") == ""
+
+
+def test_two_publishers_one_wins(spark, stored, tmp_path):
+    index = load_index(spark, stored)
+    box, other = (collection.CollectionCatalog(spark, str(tmp_path / "points")) for _ in range(2))
+    first = box.prepare("lab", index.chunks, index.vectors)
+    pinned = box.snapshot("lab")
+    reader = box.read(pinned.collection)
+    n = index.chunks.count()
+    # Both start from the first snapshot; the second commit finds the log moved on.
+    moved = index.vectors.withColumn("embedding", F.transform("embedding", lambda x: x * 2 + 1))
+    slow, build = other.snapshot("lab"), other.build
+
+    def overtaken(*args):
+        build(*args)
+        box.prepare("lab", index.chunks, moved)
+
+    other.build = overtaken
+    third = index.vectors.withColumn("embedding", F.transform("embedding", lambda x: x - 3))
+    with pytest.raises(collection.PublishConflict):
+        other.prepare("lab", index.chunks, third)
+    with pytest.raises(collection.PublishConflict):
+        other.commit(slow, "lab__stale")
+    now = box.snapshot("lab")
+    assert (slow.version, now.version) == (1, 2) and now.collection not in (first.collection, "lab__stale")
+    assert box.status("lab", index.chunks, moved).collection == now.collection
+    # The loser's folder is gone, the pinned reader goes on, old collections leave on request only.
+    assert len([p for p in (tmp_path / "points").iterdir() if p.name.startswith("lab__")]) == 2
+    assert reader.count() == n and box.expire("lab", keep=2) == []
+    assert box.expire("lab", keep=1) == [first.collection] and box.read(now.collection).count() == n
+
+
+def test_cluster_needs_a_shared_folder():
+    class Context:
+        applicationId, master = "app", "spark://host:7077"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_file_status(spark):
     def table(rows):
         return spark.createDataFrame(rows, "path string, sha256 string")
