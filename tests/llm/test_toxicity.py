@@ -33,6 +33,12 @@ def test_kernel_equals_its_definition():
             assert got[i, j] == pytest.approx(naive(w, m) / norm if norm else 0, abs=1e-5)
 
 
+def test_margins_are_linear_in_the_kernel(machine):
+    words = ["idiot", "i d i o t", "moronthe", "ab", "x", "m.o.r.o.n", "étéé", "a" * 24]
+    want = machine.kernel(words) @ machine.weights + machine.bias
+    assert machine.margins(words) == pytest.approx(want, abs=2e-4)
+
+
 def test_units_cover_the_whole_text():
     assert tx.units("You I D I O T, st*upid!") >= {"i d i o t", "you", "st*upid"} - {"i d i o t"}
     assert "i d i o t" in tx.units("such an I D I O T") and "i.d.i.o.t" in tx.units("i.d.i.o.t.")
