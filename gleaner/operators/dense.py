@@ -1,9 +1,13 @@
 """Exact cosine top-k as block products inside tasks.
 
 Queries form one matrix that every task holds while it streams over its share of
-the vectors; a batch keeps k candidates per query, and only those reach the final
-ranking. A query set too large for one matrix is split into tiles that meet shards
-of the vectors through an equi-key.
+the vectors. A task cuts a batch into blocks around pivots and keeps each query's k best
+scores so far: by the triangle inequality of angles no row of a block is nearer to a
+query than the pivot's angle less the block's radius, so queries that cannot gain from a
+block skip it. Products are taken of slices of queries with a block, so that their size
+has a bound in bytes, whatever the number of queries. Only rows that reach a query's k
+best so far leave the task. A query set too large for one matrix is split into tiles that
+meet shards of the vectors through an equi-key.
 """
 
 from __future__ import annotations
@@ -27,7 +31,10 @@ from gleaner.operators.lexical import TIE_STEPS, tie_key
 QUERY_MATRIX_LIMIT = 4_000_000
 # Vectors per shard on the tiled path.
 SHARD_ROWS = 50_000
-
+# Rows in a block of vectors, bytes of the largest product of queries with a block.
+BLOCK_ROWS, SCORE_BYTES = 1024, 16 << 20
+# Cosines are compared with their bound this loosely.
+BOUND_SLACK = 1e-6
 
 
 def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
@@ -42,23 +49,86 @@ def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
     return rows / np.where(lengths == 0, 1.0, lengths)
 
 
-def _best(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of the k best rows per query; ties go by ``order``.
+def _best(keys: np.ndarray, order: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of the k best rows per query from ``floor`` up; ties go by ``order``.
 
     Rows at minus infinity never count. However many copies tie, k rows are kept.
     """
-    keys = np.floor(scores * TIE_STEPS + 0.5)
     if keys.shape[1] > k:
-        floor = -np.partition(-keys, k - 1, axis=1)[:, k - 1]
-    else:
-        floor = np.full(len(keys), -np.inf)
-    picked = []
-    for q, row in enumerate(keys):
-        at = np.flatnonzero((row >= floor[q]) & np.isfinite(row))
-        if len(at) > k:
-            at = at[np.lexsort((order[at], -row[at]))[:k]]
-        picked.append(at)
-    return np.repeat(np.arange(len(keys)), [len(p) for p in picked]), np.concatenate(picked)
+        floor = np.maximum(floor, -np.partition(-keys, k - 1, axis=1)[:, k - 1])
+    q, r = np.nonzero((keys >= floor[:, None]) & np.isfinite(keys))
+    if len(q) > k:
+        ranked = np.lexsort((order[r], -keys[q, r], q))
+        q, r = q[ranked], r[ranked]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, r = q[place < k], r[place < k]
+    return q, r
+
+
+class Scanner:
+    """Each query's k best rows of a stream of batches, block by block."""
+
+    def __init__(self, matrix: np.ndarray, query_ids: np.ndarray, admits: np.ndarray, top_k: int) -> None:
+        self.matrix, self.query_ids, self.admits, self.top_k = matrix, query_ids, admits, top_k
+        self.best = np.full((len(matrix), top_k), -np.inf)  # keys of the best rows so far
+        self.slice = max(1, SCORE_BYTES // (8 * BLOCK_ROWS))
+        self.skipped = self.scored = self.largest = 0  # pairs of a query and a block; bytes
+
+    def _blocks(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Row numbers of blocks around pivots: rows of the batch at even distances."""
+        lengths = np.linalg.norm(unit, axis=1)
+        zero, rest = np.flatnonzero(lengths == 0), np.flatnonzero(lengths > 0)
+        pivots = unit[rest[::max(1, len(rest) // 16)][:16]]
+        near = np.argmax(unit[rest] @ pivots.T, axis=1) if len(rest) else rest
+        groups = [zero, *(rest[near == p] for p in range(len(pivots)))]
+        return [g[i:i + BLOCK_ROWS] for g in groups for i in range(0, len(g), BLOCK_ROWS)]
+
+    def scan(self, vectors: pa.Table | pa.RecordBatch) -> pa.Table:
+        """Rows of a batch that are among the best so far, with their passed-through columns."""
+        unit = _matrix(vectors.column("embedding"))
+        groups = vectors.column("payload_group").to_numpy(zero_copy_only=False)
+        kept = [
+            n for n in vectors.schema.names
+            if n not in ("embedding", "payload_group", "tile", "shard")
+        ]
+        slim = vectors.select(kept)
+        latest = [(name, "descending") for name in [*kept[1:], kept[0]]]
+        order = np.empty(len(unit), dtype=np.int64)
+        order[pc.sort_indices(slim, sort_keys=latest).to_numpy()] = np.arange(len(unit))
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0))]
+        for rows in self._blocks(unit):
+            centre = unit[rows].mean(axis=0)
+            size = np.linalg.norm(centre)
+            centre = centre / size if size else centre
+            radius = np.arccos(np.clip((unit[rows] @ centre).min(), -1, 1)) if size else np.pi
+            for a in range(0, len(self.matrix), self.slice):
+                part = self.matrix[a:a + self.slice]
+                angle = np.arccos(np.clip(part @ centre, -1, 1)) if size else np.zeros(len(part))
+                most = np.cos(np.maximum(0, angle - radius))
+                open_ = a + np.flatnonzero((most + BOUND_SLACK) * TIE_STEPS >= self.best[a:a + self.slice].min(axis=1))
+                self.skipped, self.scored = self.skipped + len(part) - len(open_), self.scored + len(open_)
+                if len(open_):
+                    found.append(self._score(open_, rows, unit, groups, order))
+        q, r, keys, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        still = keys >= self.best[q].min(axis=1) if len(q) else np.empty(0, bool)
+        q, r, scores = q[still], r[still], scores[still]
+        taken = slim.take(pa.array(r, pa.int64()))
+        return pa.table({
+            "query_id": pa.array(self.query_ids[q], pa.string()),
+            **{name: taken.column(name) for name in kept},
+            "score": pa.array(scores, pa.float64()),
+        })
+
+    def _score(self, queries, rows, unit, groups, order):
+        scores = self.matrix[queries] @ unit[rows].T
+        self.largest = max(self.largest, scores.nbytes)
+        for i in np.flatnonzero([a is not None for a in self.admits[queries]]):
+            scores[i, groups[rows] != self.admits[queries[i]]] = -np.inf
+        keys = np.floor(scores * TIE_STEPS + 0.5)
+        q, r = _best(keys, order[rows], self.top_k, self.best[queries].min(axis=1))
+        both = np.concatenate([self.best[queries], keys], axis=1)
+        self.best[queries] = -np.partition(-both, self.top_k - 1, axis=1)[:, :self.top_k]
+        return queries[q], rows[r], keys[q, r], scores[q, r]
 
 
 def dense_top_k(
@@ -118,31 +188,6 @@ def _found_schema(rows: DataFrame) -> T.StructType:
     ])
 
 
-def _pick(
-    vectors, matrix: np.ndarray, query_ids: np.ndarray, admits: np.ndarray, top_k: int
-) -> pa.Table:
-    """Best rows of one block of vectors with their passed-through columns."""
-    scores = matrix @ _matrix(vectors.column("embedding")).T
-    groups = vectors.column("payload_group").to_numpy(zero_copy_only=False)
-    for q in np.flatnonzero([a is not None for a in admits]):
-        scores[q, groups != admits[q]] = -np.inf
-    kept = [
-        n for n in vectors.schema.names
-        if n not in ("embedding", "payload_group", "tile", "shard")
-    ]
-    slim = vectors.select(kept)
-    latest = [(name, "descending") for name in [*kept[1:], kept[0]]]
-    order = np.empty(len(groups), dtype=np.int64)
-    order[pc.sort_indices(slim, sort_keys=latest).to_numpy()] = np.arange(len(groups))
-    q, r = _best(scores, order, top_k)
-    taken = slim.take(pa.array(r, pa.int64()))
-    return pa.table({
-        "query_id": pa.array(query_ids[q], pa.string()),
-        **{name: taken.column(name) for name in kept},
-        "score": pa.array(scores[q, r], pa.float64()),
-    })
-
-
 def _by_shipped_matrix(rows: DataFrame, head: list, top_k: int) -> DataFrame:
     spark, schema = rows.sparkSession, _found_schema(rows)
     if not head:
@@ -154,9 +199,10 @@ def _by_shipped_matrix(rows: DataFrame, head: list, top_k: int) -> DataFrame:
     ))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(*shipped.value, top_k)
         for batch in batches:
             if batch.num_rows:
-                yield from _pick(batch, *shipped.value, top_k).to_batches()
+                yield from scanner.scan(batch).to_batches()
 
     return rows.mapInArrow(score, schema)
 
@@ -179,10 +225,11 @@ def _by_tiles(rows: DataFrame, asked: DataFrame, top_k: int, tile_rows: int) ->
     def score(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not (vectors.num_rows and queries.num_rows):
             return empty
-        return _pick(
-            vectors, _matrix(queries.column("vector")), queries.column("query_id").to_numpy(),
+        scanner = Scanner(
+            _matrix(queries.column("vector")), queries.column("query_id").to_numpy(),
             queries.column("admits").to_numpy(), top_k,
         )
+        return scanner.scan(vectors)
 
     return (
         left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard"))

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import dense
 from gleaner.operators.dense import dense_explain, dense_top_k
 from gleaner.plugins.embedders import HashEmbedder
 
@@ -80,6 +82,52 @@ def test_filters_apply_before_ranking(spark, rows):
     assert ids(mixed, "q2") == brute(rows, rows[2], 5, lambda i: i % 2 == 0)
 
 
+def scanned(rows, queries, k, batch, groups=None, admits=None):
+    """Ids per query from a scanner fed batch by batch, and the scanner."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    admits = np.array(admits if admits else [None] * len(queries), dtype=object)
+    scanner = dense.Scanner(unit(queries), np.array([f"q{i}" for i in range(len(queries))], dtype=object), admits, k)
+    found = {}
+    for a in range(0, len(rows), batch):
+        part = rows[a:a + batch]
+        table = pa.table({"chunk_id": [f"{i:07d}" for i in range(a, a + len(part))], "embedding": pa.array(list(part), pa.list_(pa.float64())),
+                          "payload_group": pa.array(groups[a:a + batch] if groups else [None] * len(part), pa.string())})
+        for r in scanner.scan(table).to_pylist():
+            found.setdefault(r["query_id"], []).append((np.floor(r["score"] * 1e9 + 0.5), r["chunk_id"]))
+    return {q: [int(i) for _, i in sorted(x, reverse=True)[:k]] for q, x in found.items()}, scanner, sum(map(len, found.values()))
+
+
+def test_blocks_are_bounded_and_skipped():
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((16, 24)) * 6
+    # Clusters of unequal size, copies among them, in random order.
+    rows = centres[rng.integers(0, 16, 12_000)] + rng.standard_normal((12_000, 24)) * 0.4
+    rows[500:900] = rows[499]
+    queries = np.r_[centres[rng.integers(0, 16, 5_000)] + rng.standard_normal((5_000, 24)) * 0.3, rows[499:500]]
+    got, scanner, emitted = scanned(rows, queries, 5, 4_000)
+    assert scanner.largest <= dense.SCORE_BYTES < len(queries) * dense.BLOCK_ROWS * 8
+    assert scanner.skipped > 0.5 * (scanner.skipped + scanner.scored)
+    assert emitted < len(queries) * 5 * 3
+    for i in [*range(0, 5_000, 97), 5_000]:
+        assert got[f"q{i}"] == brute_double(rows, queries[i], 5)
+
+
+def brute_double(rows, q, k, keep=lambda i: True):
+    keys = np.floor(rows @ q / np.linalg.norm(rows, axis=1) / np.linalg.norm(q) * 1e9 + 0.5)
+    return [i for i in sorted(range(len(rows)), key=lambda i: (-keys[i], -i)) if keep(i)][:k]
+
+
+def test_blocks_respect_filters_and_directions():
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((3_000, 3))
+    queries = np.r_[rows[:40], -rows[:40]]
+    groups = ["a" if i % 3 else "b" for i in range(3_000)]
+    admits = [None if i % 2 else "b" for i in range(80)]
+    got, _, _ = scanned(rows, queries, 7, 700, groups, admits)
+    for i in range(80):
+        assert got[f"q{i}"] == brute_double(rows, queries[i], 7, lambda r: admits[i] is None or groups[r] == admits[i])
+
+
 def test_explanation_reproduces_the_score(spark, rows):
     vectors, queries = table(spark, rows), asks(spark, rows[:2])
     found = dense_top_k(vectors, queries, 4, order_by=("no",))
