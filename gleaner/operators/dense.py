@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gleaner.functions.checks import known, same_width
 from gleaner.functions.vectors import dot, norm
 from gleaner.operators.lexical import TIE_STEPS, tie_key
 
@@ -85,6 +86,9 @@ class Scanner:
 
     def scan(self, vectors: pa.Table | pa.RecordBatch) -> pa.Table:
         """Rows of a batch that are among the best so far, with their passed-through columns."""
+        widths = set(pc.unique(pc.list_value_length(vectors.column("embedding"))).to_pylist())
+        if widths - {self.matrix.shape[1]}:
+            raise ValueError(f"embedding dimension mismatch: queries {self.matrix.shape[1]}, vectors {sorted(widths, key=str)}")
         unit = _matrix(vectors.column("embedding"))
         groups = vectors.column("payload_group").to_numpy(zero_copy_only=False)
         kept = [
@@ -240,7 +244,10 @@ def _by_tiles(rows: DataFrame, asked: DataFrame, top_k: int, tile_rows: int) ->
 def dense_explain(
     vectors: DataFrame, queries: DataFrame, results: DataFrame, preview_dimensions: int = 12
 ) -> DataFrame:
-    """The factors of every result's cosine, with the head of both vectors."""
+    """The factors of every result's cosine, with the head of both vectors.
+
+    A result whose query or chunk is unknown, or whose widths differ, is an error.
+    """
     if preview_dimensions < 0:
         raise ValueError("preview_dimensions must be non-negative")
     q, v = F.col("vector"), F.col("embedding")
@@ -248,7 +255,9 @@ def dense_explain(
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     product = F.col("query_norm") * F.col("chunk_norm")
     return (
-        results.join(asked, "query_id").join(keyed, "chunk_id")
+        results.join(asked, "query_id", "left").join(keyed, "chunk_id", "left")
+        .withColumn("vector", known(q, "query", F.col("query_id")))
+        .withColumn("embedding", same_width(q, known(v, "chunk", F.col("chunk_id")), F.col("chunk_id")))
         .select(
             "query_id", "chunk_id", "rank", "score", F.size(q).alias("dimension"),
             norm(q).alias("query_norm"), norm(v).alias("chunk_norm"),

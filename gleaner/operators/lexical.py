@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.checks import known
 from gleaner.functions.text import has_text, path_order, tokenize
 from gleaner.session import BROADCAST_ROW_LIMIT, broadcast_if_small, row_count_within, write_and_reread
 
@@ -202,8 +203,8 @@ def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
 def weighted_terms(index: LexicalIndex, terms: DataFrame, small: bool = True) -> DataFrame:
     """Query terms with df and idf; terms outside the vocabulary get zeros."""
     asked = terms.select("term").distinct()
-    known = index.terms.join(F.broadcast(asked) if small else asked, "term", "left_semi")
-    return terms.join(known, "term", "left").select(
+    found = index.terms.join(F.broadcast(asked) if small else asked, "term", "left_semi")
+    return terms.join(found, "term", "left").select(
         "query_id", "term", "term_no", "places", "query_frequency",
         F.coalesce("df", F.lit(0)).alias("df"),
         F.coalesce(floored_idf(F.col("df"), index.stats), F.lit(0.0)).alias("idf"),
@@ -378,8 +379,8 @@ def _all_scores(index: LexicalIndex, asked: DataFrame, terms: DataFrame) -> Data
     everywhere = lengths.select(shard_of(blank, index.shards).alias("shard"), blank.alias("term"), "cell", "entries")
     blocks = index.blocks.select("shard", "term", "cell", "entries").unionByName(everywhere)
     nothing = asked.select("query_id", blank.alias("term"), F.array(F.lit(0)).alias("places"), F.lit(0.0).alias("idf"))
-    known = terms.where("df > 0").select("query_id", "term", "places", "idf").unionByName(nothing)
-    cells = blocks.select("shard", "term", "cell").join(known, "term")
+    matching = terms.where("df > 0").select("query_id", "term", "places", "idf").unionByName(nothing)
+    cells = blocks.select("shard", "term", "cell").join(matching, "term")
     return _scores(blocks, cells, index.stats)
 
 
@@ -388,7 +389,8 @@ def bm25_explain(
 ) -> DataFrame:
     """Per result: chunk length and, per distinct query term, every factor of its score.
 
-    Results ask for the blocks of their query's terms in their own cell.
+    Results ask for the blocks of their query's terms in their own cell. A result whose
+    query or chunk is unknown is an error.
     """
     raw = query_terms(queries, text)
     terms = write_and_reread(weighted_terms(index, raw, row_count_within(raw, BROADCAST_ROW_LIMIT)), "terms")
@@ -407,8 +409,10 @@ def bm25_explain(
     )
     lengths = index.chunks.select("position", F.col("dl").alias("document_length"))
     found = (
-        ranked.join(lengths, "position").join(per_query, "query_id")
+        ranked.join(lengths, "position", "left").join(per_query, "query_id", "left")
         .join(hits, ["query_id", "position"], "left")
+        .withColumn("document_length", known(F.col("document_length"), "chunk position", F.col("position")))
+        .withColumn("query_terms", known(F.col("query_terms"), "query", F.col("query_id")))
         .withColumn("hits", F.coalesce("hits", F.from_json(F.lit("{}"), "map<string,int>")))
     )
 

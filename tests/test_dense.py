@@ -145,3 +145,18 @@ def test_hash_embedder_is_deterministic_and_unit(spark):
     df = spark.createDataFrame([("one",)], "t string")
     got = df.select(HashEmbedder(8).vector(F.col("t")).alias("v")).first()["v"]
     assert got == pytest.approx(a[0].tolist())
+
+
+def test_unknown_ids_and_widths_are_errors(spark, rows):
+    vectors, queries = table(spark, rows), asks(spark, rows[:2])
+    found = dense_top_k(vectors, queries, 2, order_by=("no",))
+    for wrong, message in ((vectors.where("chunk_id <> 'c0'"), "unknown chunk: c0"),
+                           (vectors.withColumn("embedding", F.slice("embedding", 1, 4)), "dimension mismatch")):
+        with pytest.raises(Exception, match=message):
+            dense_explain(wrong, queries, found).collect()
+    with pytest.raises(Exception, match="unknown query: q1"):
+        dense_explain(vectors, queries.where("query_id = 'q0'"), found).collect()
+    mixed = vectors.withColumn("embedding", F.when(F.col("no") == 5, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    for limit in (10_000, 6):
+        with pytest.raises(Exception, match="dimension mismatch"):
+            dense_top_k(mixed, queries, 2, matrix_limit=limit).collect()

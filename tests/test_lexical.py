@@ -116,6 +116,16 @@ def test_explanation_adds_up_to_the_score(spark, make_docs):
     assert best["document_length"] == 5 and best["k1"] == 1.5 and best["b"] == 0.75
 
 
+def test_unknown_results_are_errors(spark, make_docs):
+    index, asked = in_memory(make_docs, TEXTS["three"]), ask(spark, ["rare term", "common"])
+    ranked_rows = L.bm25_top_k(index, asked, 1)
+    lost = ranked_rows.withColumn("position", F.col("position") + 1_000_000)
+    with pytest.raises(Exception, match="unknown chunk position: 1000"):
+        L.bm25_explain(index, asked, lost).collect()
+    with pytest.raises(Exception, match="unknown query: q1"):
+        L.bm25_explain(index, asked.where("query_id = 'q0'"), ranked_rows).collect()
+
+
 def stored(spark, make_docs, texts, path, shards=4):
     docs = make_docs({f"{i:04d}.txt": t for i, t in enumerate(texts)})
     chunks = write_and_reread(L.with_position(chunk_fixed(docs)), "chunks")
