@@ -13,7 +13,7 @@ MAX_UPLOAD_FILES = 100
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 
 
-def _suffix(path: Column) -> Column:
+def path_suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))
 
 
@@ -47,7 +47,7 @@ def load_documents(spark: SparkSession, root: str) -> DataFrame:
     )
     relative = F.substring_index(F.col("path"), f"{_plain(base)}/", -1)
     return as_documents(
-        files.where(_suffix(F.col("path")).isin(*SUFFIXES))
+        files.where(path_suffix(F.col("path")).isin(*SUFFIXES))
         .select(relative.alias("doc_id"), "path", F.col("value").alias("raw_text"))
     )
 
@@ -82,7 +82,7 @@ def check_upload(files: DataFrame) -> None:
     """Refuse an upload of (name, length) that breaks a limit."""
     count, size, names, bad = files.agg(
         F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("name"),
-        F.count_if(~_suffix(F.col("name")).isin(*SUFFIXES)),
+        F.count_if(~path_suffix(F.col("name")).isin(*SUFFIXES)),
     ).first()
     if not 1 <= count <= MAX_UPLOAD_FILES:
         raise ValueError(f"an upload has 1 to {MAX_UPLOAD_FILES} files, got {count}")

@@ -91,8 +91,12 @@ def write_index(
     distance_metric: str = "cosine",
     backend_identity: str | None = None,
     source_corpus_id: str | None = None,
+    vectors: DataFrame | None = None,
 ) -> dict:
-    """Write documents, chunks, vectors, the lexical tables and a manifest."""
+    """Write documents, chunks, vectors, the lexical tables and a manifest.
+
+    ``vectors(chunk_id, embedding)`` are those of ``embedder`` where they exist already.
+    """
     spark = documents.sparkSession
     documents.write.mode("overwrite").parquet(f"{path}/documents")
     # In position order, so that a lookup of few chunks reads few row groups.
@@ -100,13 +104,11 @@ def write_index(
     documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents")
     chunks = spark.read.schema(schemas.STORED_CHUNK).parquet(f"{path}/chunks")
     if embedder is not None:
-        (
-            chunks.select(
-                "position", "chunk_id", "doc_id",
-                embedder.vector(F.col("text")).alias("embedding"),
-            )
-            .write.mode("overwrite").parquet(f"{path}/vectors")
-        )
+        if vectors is None:
+            vectors = chunks.select("chunk_id", embedder.vector(F.col("text")).alias("embedding"), "position", "doc_id")
+        else:
+            vectors = chunks.select("position", "chunk_id", "doc_id").join(vectors, "chunk_id", "left")
+        vectors.select("position", "chunk_id", "doc_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
         check_vectors(chunks, spark.read.parquet(f"{path}/vectors"), embedder.dim)
     write_lexical(chunks, f"{path}/lexical")
     manifest = {

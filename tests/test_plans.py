@@ -13,8 +13,9 @@ from gleaner.plugins.embedders import HashEmbedder
 from gleaner.plugins.generators import EchoGenerator
 from gleaner.plugins.judges import ScriptedJudge
 from gleaner.plugins.rerankers import ColumnScore
+from gleaner.sources.corpus import load_documents
 from gleaner.sources.index_store import load_index, write_index
-from gleaner.streaming.ingest import ingest, publish_lexical, text_stream
+from gleaner.streaming.ingest import ingest, publish_index, publish_lexical, text_stream
 
 EMBEDDER = HashEmbedder(8)
 TEXTS = {f"g{i % 2}/d{i}.md": f"# Doc {i}\n\nsubject{i} shared words {'extra ' * i}" for i in range(8)}
@@ -156,6 +157,48 @@ def test_streamed_corpus_equals_batch(spark, tmp_path):
     assert {r["term"]: r["df"] for r in lexical.terms.collect()}["common"] == 6
 
 
+def test_streamed_indexes_equal_a_batch_build(spark, tmp_path):
+    src, names = tmp_path / "in", [f"{i}.md" for i in (3, 1, 2, 0, 4)]
+    src.mkdir()
+    text = lambda n: f"# T\n\nshared words stream{n[0]} common"
+    outs = [str(tmp_path / f"out{k}") for k in range(2)]
+    for step, part in enumerate((names[:2], names[2:])):
+        for n in part:
+            (src / n).write_text(text(n))
+        (src / f"{step}.bin").write_text("not a document")
+        for out in outs[:1 + step]:  # the second index reads all files in one batch
+            for _ in range(2):  # a restart finds nothing new
+                ingest(text_stream(spark, str(src)), out, embedder=EMBEDDER).awaitTermination()
+    batch = str(tmp_path / "batch")
+    docs = load_documents(spark, str(src))
+    write_index(batch, docs, chunk_fixed(docs), corpus_root="c", chunk_size=800, chunk_overlap=120, embedder=EMBEDDER)
+    asked = spark.createDataFrame([(f"q{i}", q, "hybrid", 4, "none", 4) for i, q in enumerate(["stream1", "shared", "common stream4"])],
+                                  "query_id string, question string, retriever string, top_k int, reranker string, rerank_top_n int")
+
+    def answers(index):
+        rows = retrieve(index, asked, EMBEDDER).collect()
+        return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in rows)
+
+    want = answers(load_index(spark, batch))
+    assert len(want) == 12
+    for out in outs:
+        index = publish_index(spark, out, f"{out}-published", embedder=EMBEDDER)
+        assert index.manifest["document_count"] == 5 and answers(index) == want
+
+
+def test_later_versions_supersede_and_nulls_remove(spark, tmp_path):
+    src, out = tmp_path / "rows", str(tmp_path / "out")
+    schema = "doc_id string, path string, raw_text string"
+    for rows in ([("a.md", "a.md", "old words"), ("b.md", "b.md", "stays"), ("c.md", "c.md", "leaves")],
+                 [("a.md", "a.md", "fresh words"), ("c.md", "c.md", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        ingest(spark.readStream.schema(schema).parquet(str(src)), out, embedder=EMBEDDER).awaitTermination()
+    index = publish_index(spark, out, str(tmp_path / "published"), embedder=EMBEDDER)
+    assert {r["text"] for r in index.chunks.collect()} == {"fresh words", "stays"}
+    assert {r["doc_id"] for r in index.documents.collect()} == {"a.md", "b.md"}
+    assert {r["term"] for r in index.lexical.terms.collect()} == {"fresh", "words", "stays"}
+
+
 def test_command_line(spark, tmp_path, capsys):
     corpus, ix = tmp_path / "corpus", str(tmp_path / "ix")
     corpus.mkdir()
