@@ -182,7 +182,8 @@ def test_most_pairs_are_never_scored(spark, zipf):
     cells = L._bounds(index, terms, True).select("query_id", "cell").distinct()
     every = L._scores(index.blocks, L._wanted(cells, terms, index.shards), index.stats)
     added = L._sums(index, terms, 5, True).count()
-    assert added < 0.7 * every.count() and L._pruned_scores(index, terms, 5, True).count() < 0.01 * added
+    assert added < 0.5 * every.count()
+    assert L._pruned_scores(index, terms, 5, True).count() <= 2 * 5 * len(questions)
 
 
 def test_scores_add_up_in_the_order_of_the_question(spark, zipf):
