@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,6 +61,19 @@ def reciprocal_rank_fusion(
     )
 
 
+def source_components(sources: str = "sources", score: str = "score") -> Column:
+    """The fused score and every source's score and rank, from the provenance of a fused row."""
+    def entry(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.cast("double").alias("value"))
+
+    parts = F.transform(sources, lambda s: F.array(
+        entry(F.concat(s["source"], F.lit("_score")), s["score"]),
+        entry(F.concat(s["source"], F.lit("_rank")), s["rank"]),
+    ))
+    fused = F.array(entry(F.lit("rrf_score"), F.col(score)))
+    return F.map_from_entries(F.concat(fused, F.flatten(parts)))
+
+
 def score_components(results: DataFrame, *sources: tuple[str, DataFrame]) -> DataFrame:
     """``results`` with a map of the scores and ranks each source gave a chunk."""
     out = results

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.dense import dense_top_k
-from gleaner.operators.fusion import reciprocal_rank_fusion
+from gleaner.operators.fusion import reciprocal_rank_fusion, source_components
 from gleaner.operators.lexical import bm25_top_k
 from gleaner.operators.rerank import apply_rerank
 from gleaner.session import BROADCAST_ROW_LIMIT, write_and_reread
@@ -118,10 +118,13 @@ def summarize(asks: DataFrame, embedder, reranker) -> AskSummary:
 
 
 def base_ranking(
-    index, asks: DataFrame, embedder=None, summary: AskSummary | None = None
+    index, asks: DataFrame, embedder=None, summary: AskSummary | None = None, explain: bool = False
 ) -> DataFrame:
     """(query_id, position, score, rank) at each ask's own depth, before reranking.
 
+    With ``explain`` also ``score_components``: what each retriever gave the chunk, taken
+    along from the lists that are ranked anyway.
+
     Each retriever ranks its distinct questions in one job, at the greatest depth asked
     for; every ask of a question then keeps its own prefix of the list.
     """
@@ -153,19 +156,27 @@ def base_ranking(
             .select("query_id", "position", "score", "rank")
         )
 
+    def with_components(found: DataFrame, components: Column) -> DataFrame:
+        return found.withColumn("score_components", components) if explain else found
+
+    def own_components(name: str) -> Column:
+        return F.create_map(
+            F.lit(f"{name}_score"), F.col("score"), F.lit(f"{name}_rank"), F.col("rank").cast("double")
+        )
+
     ranked = []
     for mode, k in modes.items():
         sub = asks.where(F.col("retriever") == mode)
         if mode == "bm25":
-            ranked.append(fan_out(lexical(sub, k), sub))
+            ranked.append(with_components(fan_out(lexical(sub, k), sub), own_components("bm25")))
         elif mode == "dense":
-            ranked.append(fan_out(dense(sub, k), sub))
+            ranked.append(with_components(fan_out(dense(sub, k), sub), own_components("dense")))
         else:
             # How far a list reaches changes what is fused, so lists are cut before.
             lists = [fan_out(dense(sub, k), sub), fan_out(lexical(sub, k), sub)]
-            fused = reciprocal_rank_fusion(
+            fused = with_components(reciprocal_rank_fusion(
                 lists, k, source_names=["dense", "bm25"], key="position"
-            ).drop("sources")
+            ), source_components()).drop("sources")
             ranked.append(
                 fused.join(sub.select("query_id", "depth"), "query_id")
                 .where(F.col("rank") <= F.col("depth")).drop("depth")
@@ -173,6 +184,7 @@ def base_ranking(
     if not ranked:
         return index.chunks.sparkSession.createDataFrame(
             [], "query_id string, position long, score double, rank int"
+            + (", score_components map<string,double>" if explain else "")
         )
     return reduce(DataFrame.unionByName, ranked)
 
@@ -195,16 +207,26 @@ def with_chunks(index, ranked: DataFrame, result_limit: int) -> DataFrame:
     )
 
 
-def retrieve(index, asks: DataFrame, embedder=None, reranker=None) -> DataFrame:
+def score_semantics(retriever: Column, reranker: Column) -> Column:
+    """What the final score of a result means."""
+    names = F.create_map(*[F.lit(x) for pair in SCORE_SEMANTICS.items() for x in pair])
+    second = F.coalesce(names[reranker], F.concat(reranker, F.lit("_score")))
+    return F.when(reranker == "none", names[retriever]).otherwise(second)
+
+
+def retrieve(index, asks: DataFrame, embedder=None, reranker=None, explain: bool = False) -> DataFrame:
     """Final results of every ask: (query_id, question, chunk_id, doc_id, text, title,
     path, score, rank, pre_rerank_rank, pre_rerank_score).
 
-    ``asks`` has query_id, question, retriever, top_k, reranker, rerank_top_n.
+    ``asks`` has query_id, question, retriever, top_k, reranker, rerank_top_n. With ``explain``
+    also ``score_components``, a map of every score and rank behind the final one, and
+    ``score_semantics``; the components travel with the ranking, nothing is scored again.
     """
     summary = summarize(asks, embedder, reranker)
     # Stored once: the ranking is the costly part and feeds more than one branch.
-    base = write_and_reread(base_ranking(index, asks, embedder, summary), "ranking")
-    settings = asks.select("query_id", "question", "reranker", "top_k")
+    base = write_and_reread(base_ranking(index, asks, embedder, summary, explain), "ranking")
+    meaning = [score_semantics(F.col("retriever"), F.col("reranker")).alias("score_semantics")] if explain else []
+    settings = asks.select("query_id", "question", "reranker", "top_k", *meaning)
     found = with_chunks(index, base, summary.result_limit).join(
         F.broadcast(settings) if summary.result_limit <= BROADCAST_ROW_LIMIT else settings,
         "query_id",
@@ -219,6 +241,12 @@ def retrieve(index, asks: DataFrame, embedder=None, reranker=None) -> DataFrame:
     second = apply_rerank(again, reranker, max(summary.depths.values())).where(
         F.col("rank") <= F.col("top_k")
     )
+    if explain:
+        second = second.withColumn("score_components", F.map_concat("score_components", F.create_map(
+            F.lit("reranker_score"), F.col("score").cast("double"),
+            F.lit("pre_rerank_score"), F.col("pre_rerank_score"),
+            F.lit("pre_rerank_rank"), F.col("pre_rerank_rank").cast("double"),
+        )))
     return plain.unionByName(second).drop("reranker", "top_k")
 
 

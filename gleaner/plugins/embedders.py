@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import cosine
+
 # The pinned default model.
 DEFAULT_EMBEDDING_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
 DEFAULT_EMBEDDING_REVISION = "1110a243fdf4706b3f48f1d95db1a4f5529b4d41"
@@ -72,6 +74,37 @@ class HashEmbedder(Embedder):
         return out / np.where(norms == 0, np.float32(1), norms)
 
 
+class LetterEmbedder(Embedder):
+    """Counts of letters, either case, as plain Column functions: no Python worker, the same in SQL."""
+
+    name = "letters"
+
+    def __init__(self, letters: str = "abcdefghijklmnopqrstuvwxyz") -> None:
+        self.letters, self.dim = letters, len(letters)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        counts = [[t.count(c) + t.count(c.upper()) for c in self.letters] for t in texts]
+        return np.array(counts, dtype=np.float32).reshape(len(texts), self.dim)
+
+    def vector(self, text: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return F.array(*[
+            (F.char_length(text) - F.char_length(F.translate(text, c + c.upper(), ""))).cast("float")
+            for c in self.letters
+        ])
+
+    def neighbour_similarity(self, sentences: Column) -> Column:
+        def near(v: Column) -> Column:
+            places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1))
+            return F.coalesce(
+                F.transform(places, lambda i: F.when(i > 0, cosine(F.get(v, i - 1), F.get(v, i)))),
+                F.array().cast("array<double>"),
+            )
+
+        # Wrapped in an array, so that the vectors are bound once.
+        return F.transform(F.array(F.transform(sentences, self.vector)), near)[0]
+
+
 class SentenceTransformerEmbedder(Embedder):
     """Sentence-transformers model, loaded once per Python worker."""
 

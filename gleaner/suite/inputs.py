@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import SPACE_RUN, tokenize
 from gleaner.operators.chunking import chunk_fixed
-from gleaner.plugins.embedders import HashEmbedder
+from gleaner.plugins.embedders import HashEmbedder, LetterEmbedder
 from gleaner.session import broadcast_if_small, shared_dir, spread, write_and_reread
 from gleaner.sources.corpus import as_documents
 from gleaner.sources.index_store import StoredIndex, load_index, write_index
 
 EMBEDDER = HashEmbedder(8)
+LETTERS = LetterEmbedder()
 GRAM = 3  # letters of a short passage's longest word that serve as its key
 _stored: dict[tuple, object] = {}
 
@@ -181,6 +183,16 @@ def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     return _once(spark, sf_dir, "index", make)
 
 
+def letter_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The same index with letter counts for vectors."""
+    def make() -> StoredIndex:
+        stored = index(spark, sf_dir)
+        counts = stored.chunks.select("position", "chunk_id", "doc_id", LETTERS.vector(F.col("text")).alias("embedding"))
+        return replace(stored, vectors=write_and_reread(counts, "letters"))
+
+    return _once(spark, sf_dir, "letter_index", make)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, vec_id, label, embedding) of the embeddings table."""
     return table(spark, sf_dir, "embeddings").select(

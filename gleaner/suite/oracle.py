@@ -405,6 +405,60 @@ UNION ALL
 SELECT query_id, chunk_id, source || '_rank', l.rank::DOUBLE
 FROM lists l JOIN (SELECT query_id, chunk_id FROM fused) USING (query_id, chunk_id)""")
 
+# ---------------------------------------------------------------- dispatch
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(text: str) -> str:
+    counts = (f"length({text}) - length(translate({text}, '{c}{c.upper()}', ''))" for c in LETTERS)
+    return f"[{', '.join(counts)}]::DOUBLE[]"
+
+
+ORACLE["retrieval_components"] = _with(BM25 + f""",
+counted AS (SELECT chunk_id, doc_id, char_start, {_letters('text')} AS emb FROM chunks),
+asked_counts AS (SELECT query_id, {_letters('question')} AS vector FROM asked),
+near AS (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id
+         ORDER BY floor(score * 1e9 + 0.5) DESC, string_split(doc_id, '/') DESC, char_start DESC) AS rank
+  FROM (SELECT query_id, chunk_id, doc_id, char_start,
+               CASE WHEN list_sum(vector) = 0 OR list_sum(emb) = 0 THEN 0
+                    ELSE list_cosine_similarity(vector, emb) END AS score
+        FROM asked_counts, counted)),
+ways(way, dense, bm25, depth, semantics) AS (VALUES
+  ('bm25', false, true, 5, 'bm25_score'), ('dense', true, false, 5, 'cosine_similarity[-1,1]'),
+  ('hybrid', true, true, 5, 'reciprocal_rank_fusion'), ('reranked', true, true, 10, 'length_score')),
+hits AS (
+  SELECT way, 0 AS src, 'dense' AS source, query_id, chunk_id, score, rank
+  FROM near JOIN ways ON rank <= depth AND dense
+  UNION ALL
+  SELECT way, 1, 'bm25', query_id, chunk_id, score, rank FROM lexical JOIN ways ON rank <= depth AND bm25),
+sums AS (
+  SELECT way, query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min(src * 1000 + rank) AS seen
+  FROM hits WHERE way IN ('hybrid', 'reranked') GROUP BY ALL),
+fused AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY way, query_id
+                 ORDER BY floor(score * 1e9 + 0.5) DESC, seen) AS rank FROM sums)
+  JOIN ways USING (way) WHERE rank <= depth),
+again AS (
+  SELECT way, query_id, chunk_id, score, rank AS pre_rank, -abs(length(text) - 400)::DOUBLE AS post,
+         row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(text) - 400) DESC, rank) AS rank
+  FROM fused JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id) WHERE way = 'reranked'),
+final AS (
+  SELECT way, query_id, chunk_id, rank FROM hits WHERE way IN ('bm25', 'dense')
+  UNION ALL SELECT way, query_id, chunk_id, rank FROM fused WHERE way = 'hybrid'
+  UNION ALL SELECT way, query_id, chunk_id, rank FROM again WHERE rank <= 5),
+parts AS (
+  SELECT way, query_id, chunk_id, source || '_score' AS component, score AS value FROM hits
+  UNION ALL SELECT way, query_id, chunk_id, source || '_rank', rank FROM hits
+  UNION ALL SELECT way, query_id, chunk_id, 'rrf_score', score FROM fused
+  UNION ALL SELECT way, query_id, chunk_id, 'reranker_score', post FROM again
+  UNION ALL SELECT way, query_id, chunk_id, 'pre_rerank_score', score FROM again
+  UNION ALL SELECT way, query_id, chunk_id, 'pre_rerank_rank', pre_rank FROM again)""", """
+SELECT f.query_id || ':' || f.way AS query_id, f.rank::BIGINT AS rank, chunk_id,
+       semantics AS score_semantics, component, round(value, 6) AS value
+FROM final f JOIN ways USING (way) JOIN parts p USING (way, query_id, chunk_id)""")
+
 # ---------------------------------------------------------------- reranking
 
 AUDIT = BM25 + """,

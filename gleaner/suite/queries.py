@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -372,6 +374,26 @@ def hybrid_top_k(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def retrieval_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question asked four ways in one run, with all scores and ranks behind the results."""
+    ways = {
+        "bm25": RetrievalConfig("bm25", 5), "dense": RetrievalConfig("dense", 5),
+        "hybrid": RetrievalConfig("hybrid", 5), "reranked": RetrievalConfig("hybrid", 5, "length", 10),
+    }
+    asked = inp.questions(spark, sf)
+    asks = reduce(DataFrame.unionByName, [
+        ask(asked.withColumn("query_id", F.concat("query_id", F.lit(f":{way}"))), config)
+        for way, config in ways.items()
+    ])
+    found = retrieve(inp.letter_index(spark, sf), asks, inp.LETTERS, _length_reranker(), explain=True)
+    return found.select(
+        "query_id", _n("rank", "rank"), "chunk_id", "score_semantics", F.explode("score_components")
+    ).select(
+        "query_id", "rank", "chunk_id", "score_semantics", F.col("key").alias("component"), _r("value", "value")
+    )
+
+
 def _length_reranker() -> ColumnScore:
     """Deterministic second score: texts of about 400 characters win."""
     return ColumnScore(-F.abs(F.char_length("text") - 400), "length")
