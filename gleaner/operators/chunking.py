@@ -206,12 +206,13 @@ def _pieces(
 
 # ---------------------------------------------------------------- chunkers
 
-def _emit(documents: DataFrame, pieces: Column) -> DataFrame:
+def _emit(documents: DataFrame, pieces: Column, *keep: str) -> DataFrame:
     """One row per piece with text, offsets, id and the document's metadata."""
     metadata = F.struct("title", "path", "format", "raw_hash").alias("metadata")
-    cut = documents.select("doc_id", metadata, F.explode(pieces).alias("piece"))
+    cut = documents.select(*keep, "doc_id", metadata, F.explode(pieces).alias("piece"))
     text, start = F.col("piece.text"), F.col("piece.char_start")
     return cut.where(has_text(text)).select(
+        *keep,
         chunk_id(F.col("doc_id"), start, text).alias("chunk_id"),
         "doc_id",
         text.alias("text"),
@@ -224,18 +225,42 @@ def _emit(documents: DataFrame, pieces: Column) -> DataFrame:
 def chunk_fixed(
     documents: DataFrame, chunk_size: int = 800, chunk_overlap: int = 120
 ) -> DataFrame:
-    validate_chunk_params(chunk_size, chunk_overlap)
-    pieces = let(
-        F.col("normalized_text"),
-        lambda text: windows(text, F.lit(0), chunk_size, chunk_overlap),
-    )
-    return _emit(documents, pieces)
+    return _emit(documents, fixed_pieces(chunk_size, chunk_overlap))
 
 
 def chunk_structural(
     documents: DataFrame, chunk_size: int = 800, chunk_overlap: int = 120
 ) -> DataFrame:
     """Blocks first, sentences for a block that is too long, windows for a sentence."""
+    return _emit(documents, structural_pieces(chunk_size, chunk_overlap))
+
+
+def fan_out_chunks(documents: DataFrame, configurations: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Chunks of several configurations, told apart by ``index_id``, from one reading of the documents.
+
+    ``configurations`` gives strategy, size and overlap per index id. A document's text is
+    normalised and read once; every configuration cuts it inside the same row.
+    """
+    makers = {"fixed_character": fixed_pieces, "structural": structural_pieces}
+    unknown = sorted({strategy for strategy, _, _ in configurations.values()} - set(makers))
+    if unknown or not configurations:
+        raise ValueError(f"strategies to cut side by side are {sorted(makers)}, got {unknown}")
+    cut = F.array(*[
+        F.struct(F.lit(name).alias("index_id"), makers[strategy](size, overlap).alias("pieces"))
+        for name, (strategy, size, overlap) in configurations.items()
+    ])
+    return _emit(documents.select("*", F.inline(cut)), F.col("pieces"), "index_id")
+
+
+def fixed_pieces(chunk_size: int, chunk_overlap: int) -> Column:
+    validate_chunk_params(chunk_size, chunk_overlap)
+    return let(
+        F.col("normalized_text"),
+        lambda text: windows(text, F.lit(0), chunk_size, chunk_overlap),
+    )
+
+
+def structural_pieces(chunk_size: int, chunk_overlap: int) -> Column:
     validate_chunk_params(chunk_size, chunk_overlap)
 
     def by_window(text: Column, base: Column) -> Column:
@@ -244,8 +269,7 @@ def chunk_structural(
     def by_sentence(text: Column, base: Column) -> Column:
         return _pieces(split_sentences(text), base, chunk_size, by_window)
 
-    pieces = _pieces(split_blocks(F.col("normalized_text")), F.lit(0), chunk_size, by_sentence)
-    return _emit(documents, pieces)
+    return _pieces(split_blocks(F.col("normalized_text")), F.lit(0), chunk_size, by_sentence)
 
 
 def chunk_semantic(

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner import schemas
+from gleaner.operators.chunking import fan_out_chunks
 from gleaner.operators.lexical import (
     FILE_POSTINGS, CorpusStats, LexicalIndex, build_blocks, build_chunk_lengths, corpus_stats,
     document_frequency, shards_for, with_position,
 )
+from gleaner.session import shared_dir, write_and_reread
 
 # The index format and what a manifest without these keys means.
 SCHEMA_VERSION = "2.0"
@@ -92,16 +96,19 @@ def write_index(
     backend_identity: str | None = None,
     source_corpus_id: str | None = None,
     vectors: DataFrame | None = None,
+    documents_folder: str | None = None,
 ) -> dict:
     """Write documents, chunks, vectors, the lexical tables and a manifest.
 
     ``vectors(chunk_id, embedding)`` are those of ``embedder`` where they exist already.
+    ``documents_folder``, relative to ``path``, holds the documents where several indexes share them.
     """
     spark = documents.sparkSession
-    documents.write.mode("overwrite").parquet(f"{path}/documents")
+    if documents_folder is None:
+        documents.write.mode("overwrite").parquet(f"{path}/documents")
     # In position order, so that a lookup of few chunks reads few row groups.
     with_position(chunks).write.mode("overwrite").parquet(f"{path}/chunks")
-    documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents")
+    documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/{documents_folder or 'documents'}")
     chunks = spark.read.schema(schemas.STORED_CHUNK).parquet(f"{path}/chunks")
     if embedder is not None:
         if vectors is None:
@@ -129,6 +136,8 @@ def write_index(
         "embedding_model": embedding_model or getattr(embedder, "model_name", None),
         "embedding_dim": embedder.dim if embedder else None,
     }
+    if documents_folder is not None:
+        manifest["documents_folder"] = documents_folder
     revision = getattr(embedder, "revision", None)
     if revision is not None:
         manifest["embedding_revision"] = revision
@@ -140,6 +149,41 @@ def write_index(
     return manifest
 
 
+def write_indexes(
+    root: str,
+    documents: DataFrame,
+    configurations: dict[str, tuple[str, int, int]],
+    *,
+    corpus_root: str,
+    embedder=None,
+    source_corpus_id: str | None = None,
+) -> dict[str, dict]:
+    """One index folder per configuration (strategy, size, overlap) below ``root``; their manifests.
+
+    The source is read once: documents are stored once and shared, one job cuts the chunks of
+    all configurations, and a chunk that several of them hold is embedded once.
+    """
+    spark = documents.sparkSession
+    documents.write.mode("overwrite").parquet(f"{root}/documents")
+    stored = spark.read.schema(schemas.DOCUMENT).parquet(f"{root}/documents")
+    cut = f"{shared_dir(spark)}/fan-out-{uuid.uuid4().hex[:12]}"
+    fan_out_chunks(stored, configurations).write.partitionBy("index_id").parquet(cut)
+    schema = T.StructType([*schemas.CHUNK.fields, T.StructField("index_id", T.StringType())])
+    chunks = spark.read.schema(schema).parquet(cut)
+    vectors = None
+    if embedder is not None:
+        texts = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"])
+        vectors = write_and_reread(texts.select("chunk_id", embedder.vector(F.col("text")).alias("embedding")), "shared-vectors")
+    return {
+        name: write_index(
+            f"{root}/{name}", stored, chunks.where(F.col("index_id") == name).drop("index_id"),
+            corpus_root=corpus_root, chunk_size=size, chunk_overlap=overlap, chunking_strategy=strategy,
+            embedder=embedder, source_corpus_id=source_corpus_id, vectors=vectors, documents_folder="../documents",
+        )
+        for name, (strategy, size, overlap) in configurations.items()
+    }
+
+
 def load_index(spark: SparkSession, path: str, verify: bool = True) -> StoredIndex:
     """Open an index folder; ids of chunks and vectors have to agree."""
     manifest = {**MANIFEST_DEFAULTS, **_read_json(spark, f"{path}/manifest")}
@@ -151,7 +195,7 @@ def load_index(spark: SparkSession, path: str, verify: bool = True) -> StoredInd
             check_vectors(chunks, vectors, manifest["embedding_dim"])
     return StoredIndex(
         manifest=manifest,
-        documents=spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents"),
+        documents=spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/{manifest.get('documents_folder', 'documents')}"),
         chunks=chunks,
         vectors=vectors,
         lexical=read_lexical(spark, f"{path}/lexical"),

@@ -231,7 +231,7 @@ def _packed(name: str, units: str, size: int) -> str:
   SELECT key, no, min(s) AS s, max(e) AS e, bool_or(big) AS big FROM {name}_walk GROUP BY key, no)"""
 
 
-ORACLE["chunk_structural"] = _with(BLOCKS + """,
+STRUCTURAL = BLOCKS + """,
 bu AS (
   SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) AS idx,
          char_start AS s, char_start + n_chars AS e FROM blocks),""" + _packed("tier1", "bu", 400) + f""",
@@ -255,11 +255,25 @@ spans AS (
   UNION ALL SELECT string_split(key, '@')[1], s, e FROM windows),
 cut AS (
   SELECT doc_id, s::BIGINT AS s, e::BIGINT AS e, substring(body, s::BIGINT + 1, (e - s)::BIGINT) AS text
-  FROM spans JOIN docs USING (doc_id))""", """
+  FROM spans JOIN docs USING (doc_id))"""
+
+ORACLE["chunk_structural"] = _with(STRUCTURAL, """
 SELECT sha256(doc_id || ':' || s || ':' || text)[1:16] AS chunk_id, doc_id, s AS char_start,
        e AS char_end, sha256(text) AS digest
 FROM cut WHERE regexp_matches(text, '\\S')""", recursive=True)
 
+ORACLE["chunk_fan_out"] = _with(STRUCTURAL + """,
+starts AS (
+  SELECT doc_id, body, unnest(range(0, CASE WHEN length(body) = 0 THEN 0 WHEN length(body) <= 400 THEN 1
+         ELSE CAST(ceil((length(body) - 400) / 340.0) AS BIGINT) + 1 END)) * 340 AS s FROM docs),
+both_cut AS (
+  SELECT 'structural' AS index_id, doc_id, s, e, text FROM cut
+  UNION ALL
+  SELECT 'fixed', doc_id, s, s + length(substring(body, s + 1, 400)), substring(body, s + 1, 400) FROM starts)""", """
+SELECT index_id, sha256(doc_id || ':' || s || ':' || text)[1:16] AS chunk_id, doc_id, s AS char_start,
+       e AS char_end, sha256(text) AS digest
+FROM both_cut WHERE regexp_matches(text, '\\S')""", recursive=True)
+
 # ---------------------------------------------------------------- lexical
 
 ORACLE["chunk_tokens"] = _with(TERMS, """
@@ -814,3 +828,27 @@ tree AS (
 SELECT (SELECT count(*) FROM embeddings)::BIGINT AS vectors,
        sha256('cosine:' || (SELECT count(*) FROM embeddings) || ':' || (SELECT coalesce(max(len(embedding)), 0) FROM embeddings) || ':'
               || coalesce((SELECT digest FROM tree WHERE n = 1), '')) AS fingerprint""", recursive=True)
+
+ORACLE["bundle_violations"] = """
+WITH asked AS (
+  SELECT CAST(doc_id - CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS id, 'q' || quality || 't' || toxic AS category,
+         doc_id % 13 = 0 AS empty, doc_id FROM labels),
+gold AS (
+  SELECT CAST(doc_id AS VARCHAR) AS d FROM asked UNION ALL
+  SELECT 'absent-' || (doc_id % 17) FROM asked WHERE doc_id % 5 = 0),
+wanted(category, n) AS (VALUES ('q0t0', 4), ('q0t1', 4), ('q1t0', 4), ('q2t0', 4)),
+counts AS (SELECT category, count(*) AS n FROM asked GROUP BY ALL)
+SELECT 'question_id' AS kind, id AS key, CAST(count(*) AS VARCHAR) AS found, '1' AS expected
+FROM asked GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'incomplete', id, CAST(count(*) AS VARCHAR), '0' FROM asked WHERE empty GROUP BY id
+UNION ALL SELECT 'gold_doc_ids', d, CAST(count(*) AS VARCHAR), '0' FROM gold
+  WHERE d NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) GROUP BY d
+UNION ALL SELECT 'category', category, CAST(coalesce(c.n, 0) AS VARCHAR), CAST(coalesce(w.n, 0) AS VARCHAR)
+  FROM counts c FULL JOIN wanted w USING (category) WHERE coalesce(c.n, 0) <> coalesce(w.n, 0)
+UNION ALL SELECT 'question_count', 'all', CAST(count(*) AS VARCHAR), '16' FROM asked HAVING count(*) <> 16
+UNION ALL SELECT 'identity', 'question_count', CAST(count(*) AS VARCHAR), CAST(count(*) + 1 AS VARCHAR) FROM asked
+UNION ALL SELECT 'identity', 'distance_metric', 'cosine', 'dot'"""
+
+ORACLE["catalog_lookup"] = """
+SELECT CAST(doc_id AS VARCHAR) AS question_id, sha256(text) AS digest, source FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels)"""

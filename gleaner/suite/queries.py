@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +17,16 @@ from gleaner.operators import chunking, collection, context, files, lexical, par
 from gleaner.operators.dense import dense_explain, dense_top_k
 from gleaner.operators.fusion import reciprocal_rank_fusion, score_components
 from gleaner.operators.prepare import extract_documents, extract_qa_pairs, first_per_key
+from gleaner.plans import bundle
 from gleaner.plans import evaluation as ev
 from gleaner.plans import reports
 from gleaner.plans.retrieval import RetrievalConfig, ask, base_ranking, retrieve, with_chunks
 from gleaner.plugins.generators import EchoGenerator, provider_url
 from gleaner.plugins.judges import ScriptedJudge, parse_reply
 from gleaner.plugins.rerankers import ColumnScore
-from gleaner.session import write_and_reread
+from gleaner.session import shared_dir, write_and_reread
 from gleaner.sources import jsonl
+from gleaner.sources.lookup import look_up_all, write_lookup
 from gleaner.suite import inputs as inp
 
 QUERIES: dict = {}
@@ -199,6 +202,16 @@ def chunk_structural(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def chunk_fan_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Two configurations cut side by side from one reading."""
+    cut = chunking.fan_out_chunks(inp.markdown_documents(spark, sf), {
+        "structural": ("structural", 400, 60), "fixed": ("fixed_character", 400, 60),
+    })
+    return cut.select("index_id", "chunk_id", "doc_id", _n("char_start", "char_start"), _n("char_end", "char_end"),
+                      tx.sha256_text(F.col("text")).alias("digest"))
+
+
 @query
 def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return _chunk_rows(chunking.chunk_documents(
@@ -848,3 +861,39 @@ def retrieve_trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     return reports.retrieve_trace_lines(traces).select(
         "query_id", _n("line_no", "line_no"), "line"
     )
+
+
+@query
+def bundle_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A question per label, checked against all documents; some ids, texts and values are wrong."""
+    docs = inp.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    n, nowhere = F.col("doc_id"), F.concat(F.lit("absent-"), (F.col("doc_id") % 17).cast("string"))
+    labels = inp.table(spark, sf, "labels")
+    asked = labels.select(
+        (n - F.when(n % 11 == 0, 1).otherwise(0)).cast("string").alias("question_id"),
+        F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("category"),
+        F.when(n % 13 == 0, "").otherwise(F.concat(F.lit("label "), n)).alias("question"),
+        F.when(n % 5 == 0, F.array(n.cast("string"), nowhere)).otherwise(F.array(n.cast("string"))).alias("gold_doc_ids"),
+    )
+    none = F.lit(None).cast("string")
+
+    def value(key: str, rows: DataFrame, off_by: int) -> DataFrame:
+        n_rows = F.count("*")
+        return rows.agg(F.lit(key).alias("key"), n_rows.cast("string").alias("actual"),
+                        (n_rows + off_by).cast("string").alias("declared"), none.alias("trusted"))
+
+    metric = spark.createDataFrame([("distance_metric", "cosine", "cosine", "dot")], "key string, actual string, declared string, trusted string")
+    identity = value("document_count", docs, 0).unionByName(value("question_count", labels, 1)).unionByName(metric)
+    wanted = {"q0t0": 4, "q0t1": 4, "q1t0": 4, "q2t0": 4}
+    return bundle.bundle_violations(asked, docs, identity, wanted)
+
+
+@query
+def catalog_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a stored catalog of all documents, the rows of the labelled ones."""
+    path = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex[:12]}"
+    docs = inp.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("question_id"), F.sha2("text", 256).alias("digest"), "source")
+    write_lookup(docs, path, "question_id")
+    wanted = inp.table(spark, sf, "labels").select(F.col("doc_id").cast("string"))
+    return look_up_all(wanted, spark.read.parquet(path), "question_id")

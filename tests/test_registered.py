@@ -15,7 +15,8 @@ CHEAP = (
     "corpus_statistics", "bm25_top_k", "bm25_explanation", "dense_top_k_by_label",
     "dense_filtered", "rank_fusion", "rerank_movements", "pack_context", "echo_answers",
     "question_metrics", "diagnosis", "ranking_parity", "eval_samples", "collection_check",
-    "file_status", "retrieval_components",
+    "file_status", "retrieval_components", "chunk_fan_out",
+    "bundle_violations", "catalog_lookup",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
