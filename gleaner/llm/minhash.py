@@ -2,10 +2,13 @@
 
 Two permutations of DOMAIN places make all signature coordinates: the first deals a shingle its
 place, the second, shifted circularly by k, gives coordinate k. Bands of ROWS coordinates make
-buckets. Texts of equal words are one representative. Small buckets compare all their
-members; in a larger one, a few leaders at a time meet all members of other components and then
-retire, until the rest of the bucket is one component. So no link between different
-components is lost, and rows per round stay in proportion to the members. Every comparison is on full sets.
+buckets. Texts of equal words are one representative. Small buckets compare their members; a
+larger one is split by size class, since a pair can only link when the smaller set has at least
+the given share of the larger one's size. In a class, a few leaders at a time meet all members of
+other components in their own and the two neighbouring classes and then retire; a class is done when it and
+its neighbours are one component. So no link between different components is lost, and rows per
+round stay in proportion to the members. Every comparison is on full sets. Tables of earlier
+rounds are deleted.
 
 Cases: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 document of fewer than five words has one shingle; repeated ids with equal text are one document;
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.arrow import batches_of
-from gleaner.llm.graph import components
+from gleaner.llm.graph import components, discard
 from gleaner.session import write_and_reread
 
 SHINGLE = 5
@@ -80,15 +83,31 @@ def with_bands(sets: DataFrame) -> DataFrame:
     return sets.withColumn("bands", F.pandas_udf(band, "array<bigint>")("set"))
 
 
+def size_class(size: Column, percent: int) -> Column:
+    """Sets that can link are in the same or in neighbouring classes; the width allows for rounding."""
+    return F.floor(F.log(size.cast("double")) / F.lit(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
+def sizes_fit(x: Column, y: Column, percent: int) -> Column:
+    """No intersection is larger than the smaller set, no union smaller than the larger one."""
+    return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
+
+
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sets are made again for these alone."""
+    """The stored pairs (a, b) whose full sets reach the similarity, stored in their place.
+
+    Sets are made again for these alone.
+    """
     ids = write_and_reread(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "needed")
     sets = write_and_reread(reps.join(ids, "rep", "left_semi").select("rep", shingles(words(F.col("text"))).alias("set")), "sets")
     a, b = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     size = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("common", size)
-            .where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("set_a") + F.size("set_b") - F.col("common")))
-            .select("a", "b"))
+    links = (pairs.join(a, "a").join(b, "b").withColumn("common", size)
+             .where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("set_a") + F.size("set_b") - F.col("common")))
+             .select("a", "b"))
+    links = write_and_reread(links, "links")
+    discard(pairs, ids, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,37 +123,51 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     # The smallest id stands for all documents of equal words; aggregated before the shuffle.
     leads = write_and_reread(stored.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     reps = stored.join(leads, (stored["digest"] == leads["digest"]) & stored["doc_id"].eqNullSafe(leads["rep"]), "left_semi")
-    in_buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct()
+    in_buckets = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).distinct()
     sizes = in_buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = write_and_reread(in_buckets.join(sizes, "bucket"), "members")
-    small = (members.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("m"))
-             .select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where("a < b"))
+    one = F.struct("rep", "size")
+    small = (members.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("m"))
+             .select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
+             .where((F.col("x.rep") < F.col("y.rep")) & sizes_fit(F.col("x.size"), F.col("y.size"), percent))
+             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     texts = rows.select(F.col("doc_id").alias("rep"), "text").where("rep is not null")
-    large = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep")
+    large = write_and_reread(members.where(F.col("n") > SMALL_BUCKET).select(
+        "bucket", "rep", "size", size_class(F.col("size"), percent).alias("cls")), "large")
     links = verified(write_and_reread(small.distinct(), "pairs"), texts, percent)
-    links = write_and_reread(links, "links")
     group, rounds = components(links), 0
+    discard(members, links)
+    near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
     while True:
         known = large.join(group.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        known = write_and_reread(known.join(mixed.select("bucket"), "bucket"), "open")
+        # A class can be left when all that its members could link with is in their component.
+        mixed = known.groupBy("bucket", "cls").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        mixed = mixed.select("bucket", near.alias("cls"), "lo", "hi").groupBy("bucket", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        known = write_and_reread(known.join(mixed.where("lo < hi").select("bucket", "cls"), ["bucket", "cls"]), "open")
+        discard(large)
         if known.isEmpty():
             break
-        # Leaders: per bucket and slice, one of the smallest and one of the largest component.
+        # Leaders: per bucket, class and slice, one of the smallest and one of the largest component.
         slices = F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(1 << min(rounds, 5)))
-        pick = F.struct("c", F.xxhash64("rep").alias("h"), "rep")
-        leaders = (known.groupBy("bucket", slices.alias("slice")).agg(F.min(pick).alias("x"), F.max(pick).alias("y"))
-                   .select("bucket", F.explode(F.array("x", "y")).alias("l"))
-                   .select("bucket", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c")).distinct())
+        pick = F.struct("c", F.xxhash64("rep").alias("h"), "rep", "size")
+        leaders = (known.groupBy("bucket", "cls", slices.alias("slice")).agg(F.min(pick).alias("x"), F.max(pick).alias("y"))
+                   .select("bucket", "cls", F.explode(F.array("x", "y")).alias("l"))
+                   .select("bucket", "cls", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c"), F.col("l.size").alias("lead_size"))
+                   .distinct())
         leaders = write_and_reread(leaders, "leaders")
-        pairs = (known.join(leaders, "bucket").where("c <> lead_c")
+        met = leaders.select("bucket", near.alias("cls"), "lead", "lead_c", "lead_size")
+        pairs = (known.join(met, ["bucket", "cls"])
+                 .where((F.col("c") != F.col("lead_c")) & sizes_fit(F.col("size"), F.col("lead_size"), percent))
                  .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
         found = verified(write_and_reread(pairs, "pairs"), texts, percent)
         # Components so far as stars, and the new links.
         stars = group.select(F.col("v").alias("a"), F.col("c").alias("b")).where("a <> b")
-        group = components(write_and_reread(stars.unionByName(found), "links"))
+        links = write_and_reread(stars.unionByName(found), "links")
         large = write_and_reread(known.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-                                 .select("bucket", "rep"), "large")
+                                 .select("bucket", "rep", "size", "cls"), "large")
+        discard(found, group, known, leaders)
+        group = components(links)
+        discard(links)
         rounds += 1
     rep_of = leads.join(group.select(F.col("v").alias("rep"), "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     linked = stored.select("doc_id", "n_shingles", "digest").join(rep_of, "digest")
