@@ -5,8 +5,9 @@ offset of the index). Blocks of packed ids follow, each padded to whole bytes, t
 document ids, the first token of each document (and the end), and the byte offset of each block.
 Any id is reached from its block's offset; a block is unpacked by numpy at once.
 
-Cases: null texts are empty and hold the end id alone; repeated ids stay, in order of text;
-an empty table writes no file; further columns are ignored.
+Cases: null texts are empty and hold the end id alone; repeated ids stay, in order of text; null
+ids come first and are read back as null (a file holds the smallest 64-bit integer, which is no id,
+in their place); an empty table writes no file; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,27 +29,54 @@ MAGIC = b"GLNRTOK1"
 BLOCK = 1 << 16
 ROWS_PER_SHARD_BYTES = 32 << 20  # text bytes that one file aims at
 BATCH = 256
+NULL_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
 
+def _lanes(bits: int):
+    """For each of 64 ids that fill ``bits`` words: lane, word, shift, and whether it runs on into the next word."""
+    for lane in range(64):
+        word, shift = divmod(lane * bits, 64)
+        yield lane, word, np.uint64(shift), shift + bits > 64
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    wide = ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)
-    return np.packbits((wide & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+    """Id k takes bits k * bits and following, the lowest first; 64 ids fill ``bits`` words of 64 bits."""
+    groups = -(-len(ids) // 64)
+    wide = np.zeros(groups * 64, np.uint64)
+    wide[: len(ids)] = ids
+    wide, out = wide.reshape(groups, 64), np.zeros((groups, bits), "<u8")
+    for lane, word, shift, runs_on in _lanes(bits):
+        out[:, word] |= wide[:, lane] << shift
+        if runs_on:
+            out[:, word + 1] |= wide[:, lane] >> (np.uint64(64) - shift)
+    return out.tobytes()[: (len(ids) * bits + 7) // 8]
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * bits].reshape(n, bits)
-    out = np.zeros(n, np.uint32)
-    for k in range(bits):
-        out |= flat[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    groups = -(-n // 64)
+    words = np.frombuffer(data.ljust(groups * bits * 8, b"\0"), "<u8").reshape(groups, bits)
+    out, mask = np.empty((groups, 64), np.uint32), np.uint64((1 << bits) - 1)
+    for lane, word, shift, runs_on in _lanes(bits):
+        ids = words[:, word] >> shift
+        if runs_on:
+            ids = ids | words[:, word + 1] << (np.uint64(64) - shift)
+        out[:, lane] = ids & mask
+    return out.ravel()[:n]
+
+
+def qualified(spark, folder: str) -> str:
+    """The folder's URI as Spark resolves it, so that tasks write where Spark would."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub("^file:/+", "file:///", files.makeQualified(path).toString())
 
 
 def _open(uri: str):
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 class Writer:
@@ -62,7 +90,7 @@ class Writer:
         self.docs, self.starts, self.offsets, self.rest, self.n = [], [0], [], np.empty(0, np.uint32), 0
 
     def add(self, doc_ids: list, ids: list[np.ndarray]) -> None:
-        self.docs += [-1 if d is None else int(d) for d in doc_ids]
+        self.docs += [NULL_ID if d is None else int(d) for d in doc_ids]
         for x in ids:
             self.n += len(x)
             self.starts.append(self.n)
@@ -116,15 +144,16 @@ class ChunkEncoder:
 
     A byte-level tokenizer never lets a piece run from a visible character into white space, so a
     text may be cut before every run of white space. New chunks are encoded many at a time,
-    joined; the byte lengths of the ids tell where each chunk ends. Tokenizers of another make
-    get whole texts.
+    joined; the byte lengths of the ids tell where each chunk ends. Two generations of chunks are
+    remembered: what was met since the last change outlives the next one. Tokenizers of another
+    make get whole texts.
     """
 
     PLAIN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
     ODD = re.compile(r"[^\S \t-\r]")  # white space beyond ASCII: it may join a run
     BREAK = re.compile(r"(?<=\S)(?=[ \t-\r])")
     JOINED = 100_000  # characters encoded at a time
-    KNOWN_CHARS = 8 << 20  # of the chunks that are remembered
+    KNOWN_CHARS = 6 << 20  # of the chunks of one generation
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -137,7 +166,7 @@ class ChunkEncoder:
                                      for t in made.get("added_tokens") or ()))
         # A character of a byte-level token is one byte; added tokens are ASCII here.
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())], np.int64)
-        self.known, self.chars = {}, 0
+        self.known, self.older, self.chars = {}, {}, 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -174,10 +203,19 @@ class ChunkEncoder:
         if not self.by_chunk:
             return self._whole(texts)
         if self.chars > self.KNOWN_CHARS:
-            self.known, self.chars = {}, 0
+            self.known, self.older, self.chars = {}, self.known, 0
         cut = [self._chunks(t) for t in texts]
-        self._learn(list({c for part in cut for c in part} - self.known.keys()))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, part)), np.uint32) for part in cut]
+        made = [list(map(self.known.get, part)) for part in cut]
+        lacking = [k for k, ids in enumerate(made) if None in ids]
+        if lacking:
+            new = {c for k in lacking for c, ids in zip(cut[k], made[k]) if ids is None}
+            met = {c: self.older[c] for c in new & self.older.keys()}
+            self.known.update(met)
+            self.chars += sum(map(len, met))
+            self._learn(list(new - met.keys()))
+            for k in lacking:
+                made[k] = map(self.known.__getitem__, cut[k])
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in made]
 
 
 @functools.lru_cache(maxsize=1)
@@ -196,8 +234,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     bits = bits_for(Tokenizer.from_str(spec).get_vocab_size())
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = qualified(docs.sparkSession, folder)
     shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // ROWS_PER_SHARD_BYTES)
-    dealt = narrow.repartitionByRange(int(shards), "id", "text").sortWithinPartitions("id", "text")
+    # Bounds come from a sample of ids alone; texts order repeated ids inside their partition.
+    dealt = narrow.repartitionByRange(int(shards), "id").sortWithinPartitions("id", "text")
 
     def encode(batches):
         import os
@@ -247,7 +287,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     ids = r.ids(int(lim[0]), int(lim[-1])).astype("<u4")
                     off = lim - lim[0]
                     crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(off[:-1], off[1:])]
-                    yield pd.DataFrame({"doc_id": r.docs[a:a + BATCH], "start": base + lim[:-1],
+                    docs = pd.array(r.docs[a:a + BATCH], "Int64")
+                    docs[docs == NULL_ID] = pd.NA
+                    yield pd.DataFrame({"doc_id": docs, "start": base + lim[:-1],
                                         "n_tokens": np.diff(lim), "ids_crc32": crc})
 
     return placed.select("uri", "base").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
