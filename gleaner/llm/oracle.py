@@ -98,10 +98,32 @@ LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS no, unnest(s) AS line
            FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, no, line, list_filter(string_split_regex(line, '[ \t\r\f\x0B]+'), lambda x: x <> '') AS toks FROM l),
-g AS (SELECT doc_id, no, line, len(toks) AS n, array_to_string(list_transform(toks, lambda x:
-          CASE WHEN regexp_matches(x, '[0-9]|@|://|^[A-Za-z0-9+/_=-]{24,}$') THEN '<*>' ELSE x END), ' ') AS tpl FROM t),
-often AS (SELECT tpl, min((doc_id, no)) AS home FROM g WHERE n >= 6 GROUP BY tpl HAVING count(DISTINCT doc_id) >= 2),
-judged AS (SELECT g.*, n >= 6 AND home IS NOT NULL AND (doc_id, no) <> home AS gone FROM g LEFT JOIN often USING (tpl)),
+m AS (SELECT doc_id, no, line, toks, list_transform(toks, lambda x:
+          CASE WHEN regexp_matches(x, '[0-9]|@|://|^[A-Za-z0-9+/_=-]{24,}$') THEN '<*>' ELSE x END) AS mask FROM t),
+w AS (SELECT *, array_to_string(mask, ' ') AS tpl, len(list_filter(mask, lambda x: regexp_matches(x, '\p{L}'))) AS words FROM m),
+k AS (SELECT *, CASE WHEN len(toks) < 6 THEN 'short'
+          WHEN NOT contains(tpl, '<*>') OR (words >= 3 AND 3 * words > length(tpl) - length(replace(tpl, '<*>', ''))) THEN 'masked'
+          ELSE 'plain' END AS kind FROM w),
+held AS (SELECT DISTINCT tpl, mask, len(mask) - 1 AS r, unnest([0, 1, 2]) AS seg FROM k WHERE kind = 'masked'),
+leaf AS (SELECT tpl, mask, (r, mask[1], seg, mask[2 + r * seg // 3:1 + r * (seg + 1) // 3]) AS leaf FROM held),
+full_leaf AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS variants FROM leaf QUALIFY variants >= 3),
+place AS (SELECT leaf, generate_subscripts(mask, 1) AS p, unnest(mask) AS token FROM full_leaf),
+counted AS (SELECT leaf, p, token, count(*) AS c FROM place GROUP BY ALL),
+slot AS (SELECT leaf, p, CASE WHEN 2 * max(c) >= sum(c) THEN max((c, token))[2] ELSE '<*>' END AS token FROM counted GROUP BY leaf, p),
+made AS (SELECT leaf, list(token ORDER BY p) AS slots FROM slot GROUP BY leaf),
+sound AS (SELECT leaf, slots, array_to_string(slots, ' ') AS wide, len(list_filter(slots, lambda x: x <> '<*>')) AS literals,
+                 len(list_filter(slots, lambda x: regexp_matches(x, '\p{L}'))) AS words FROM made),
+fits AS (SELECT leaf, tpl, literals, wide, count(*) OVER (PARTITION BY leaf) AS variants FROM full_leaf JOIN sound USING (leaf)
+         WHERE 100 * literals >= 60 * len(slots) AND words >= 3 AND 3 * words > length(wide) - length(replace(wide, '<*>', ''))
+           AND len(list_filter(list_zip(mask, slots), lambda x: x[2] <> '<*>' AND x[1] <> x[2])) = 0 QUALIFY variants >= 3),
+chosen AS (SELECT tpl, min((literals, wide))[2] AS wide FROM fits GROUP BY tpl),
+spread AS (SELECT wide FROM k JOIN chosen USING (tpl) WHERE kind = 'masked' GROUP BY wide HAVING count(DISTINCT doc_id) >= 3),
+wider AS (SELECT tpl, wide FROM chosen SEMI JOIN spread USING (wide)),
+g AS (SELECT doc_id, no, line, kind, CASE WHEN kind = 'masked' THEN coalesce(wide, k.tpl) ELSE array_to_string(toks, ' ') END AS name
+      FROM k LEFT JOIN wider ON kind = 'masked' AND wider.tpl = k.tpl),
+often AS (SELECT kind, name, min((doc_id, no)) AS home FROM g WHERE kind <> 'short' OR regexp_matches(name, '\p{L}')
+          GROUP BY kind, name HAVING count(DISTINCT doc_id) >= CASE WHEN kind = 'short' THEN 1000 ELSE 2 END),
+judged AS (SELECT g.*, home IS NOT NULL AND (doc_id, no) <> home AS gone FROM g LEFT JOIN often USING (kind, name)),
 kept AS (SELECT doc_id, count(*) AS n, count_if(gone) AS n_dropped,
                 coalesce(string_agg(CASE WHEN NOT coalesce(gone, false) THEN line END, chr(10) ORDER BY no), '') AS kept_text
          FROM judged GROUP BY doc_id)
