@@ -88,33 +88,19 @@ def leaves(general: Column, segments: int = SEGMENTS) -> Column:
     return F.transform(F.array(F.split(general, " ", -1)), of)[0]
 
 
-def _parted(docs: DataFrame) -> DataFrame:
-    """(id, key, spaced and masked text) of (id, text); masking keeps line ends, so both have the same lines."""
-    return (docs.select("id", F.xxhash64("text").alias("key"), spaced(F.col("text")).alias("line"))
-            .withColumn("general", masked(F.col("line"))))
-
-
-def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(tpl, wider): the template of a leaf for masked lines that fit one; lines(id, key, no, tpl, leaves)."""
-    placed = lines.where("leaves is not null").select("id", "key", "no", "tpl", F.explode("leaves").alias("leaf"))
+def general_templates(lines: DataFrame) -> DataFrame:
+    """(tpl, wider): the template of a leaf for masked lines that fit one; lines(id, tpl, general, leaves)."""
+    placed = lines.where("leaves is not null").select("id", "tpl", F.explode("leaves").alias("leaf"))
     # Least and greatest hash are enough to pass leaves of one masked line by; combined before the shuffle.
-    shared = write_and_reread(placed.groupBy("leaf").agg(F.min("tpl").alias("lo"), F.max("tpl").alias("hi"))
+    shared = write_and_reread(placed.groupBy("leaf").agg(F.min("tpl.a").alias("lo"), F.max("tpl.a").alias("hi"))
                               .where("lo <> hi").select("leaf"), "leaves")
-    held = write_and_reread(placed.join(broadcast_if_small(shared, BROADCAST_ROWS), "leaf"), "held")
-    # The tokens are made again, from one place of each masked line.
-    places = write_and_reread(
-        held.groupBy("tpl").agg(F.min(F.struct("id", "key", "no")).alias("at")).groupBy("at.id", "at.key")
-        .agg(F.collect_list(F.struct("at.no", "tpl")).alias("places"))
-        .select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), "places"), "places")
-    found = _parted(docs).join(broadcast_if_small(places, BROADCAST_ROWS // 10),
-                               F.col("id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key")))
-    split = F.split("general", "\n", -1)
-    tokens = found.select(F.explode(F.transform(F.array(split), lambda l: F.transform("places", lambda p: F.struct(
-        p["tpl"].alias("tpl"), F.split(F.trim(F.get(l, p["no"])), " ", -1).alias("toks"))))[0]).alias("x"))
-    tokens = write_and_reread(tokens.select("x.tpl", "x.toks").dropDuplicates(["tpl"]), "tokens")
-    members = held.select("leaf", "tpl").distinct().join(tokens, "tpl")
-    enough = members.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_VARIANTS)
-    members = write_and_reread(members.join(enough.select("leaf"), "leaf"), "variants")
+    met = write_and_reread(placed.join(broadcast_if_small(shared, BROADCAST_ROWS), "leaf").distinct(), "met")
+    full = met.select("leaf", "tpl").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_VARIANTS)
+    held = write_and_reread(met.join(full.select("leaf"), "leaf"), "held")
+    wanted = broadcast_if_small(held.select("tpl").distinct(), BROADCAST_ROWS)
+    tokens = write_and_reread(lines.where("leaves is not null").select("tpl", "general").join(wanted, "tpl").groupBy("tpl").agg(
+        F.min("general").alias("general")).select("tpl", F.split("general", " ", -1).alias("toks")), "tokens")
+    members = write_and_reread(held.select("leaf", "tpl").distinct().join(tokens, "tpl"), "variants")
     # By leaf, place and token first: a full leaf is spread over its tokens.
     counted = (members.select("leaf", F.posexplode("toks").alias("place", "token"))
                .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")))
@@ -135,24 +121,25 @@ def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
              .groupBy("wide").agg(F.count("*").alias("docs")).where(F.col("docs") >= VARIANT_DOCS))
     wider = F.struct(F.col("wide").alias("text"), F.lit(False).alias("short"), F.lit(True).alias("general"))
     result = write_and_reread(chosen.join(often.select("wide"), "wide").select("tpl", _named(wider).alias("wider")), "wider")
-    discard(shared, held, places, tokens, members, fitting, chosen)
+    discard(shared, met, held, tokens, members, fitting, chosen)
     return result
 
 
 def doomed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
                  min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """(id, key, drop): the numbers of the lines that go, per document (key: hash of the text)."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Masking keeps line ends, so both forms have the same lines.
+    parted = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), spaced(F.col(text_col)).alias("line"))
+              .withColumn("general", masked(F.col("line"))))
     both = F.arrays_zip(F.split("line", "\n", -1).alias("line"), F.split("general", "\n", -1).alias("general"))
     found = F.transform(both, lambda x, i: F.struct(i.alias("no"), F.trim(x["general"]).alias("general"), template(
         F.trim(x["line"]), F.trim(x["general"]), min_tokens).alias("t")))
     kept = F.filter(found, lambda x: x["t"].isNotNull())
     named = F.transform(kept, lambda x: F.struct(x["no"].alias("no"), _named(x["t"]).alias("tpl"), F.when(
-        x["t"]["general"], leaves(x["general"])).alias("leaves")))
+        x["t"]["general"], x["general"]).alias("general"), F.when(x["t"]["general"], leaves(x["general"])).alias("leaves")))
     # Read several times below, so the templates are stored: parsing the lines is the costly part.
-    lines = write_and_reread(_parted(narrow).select("id", "key", F.explode(named).alias("l"))
-                             .select("id", "key", "l.no", "l.tpl", "l.leaves"), "templates")
-    wider = broadcast_if_small(general_templates(narrow, lines), BROADCAST_ROWS)
+    lines = write_and_reread(parted.select("id", "key", F.explode(named).alias("l")).select("id", "key", "l.*"), "templates")
+    wider = broadcast_if_small(general_templates(lines), BROADCAST_ROWS)
     lines = lines.select("id", "key", "no", "tpl").join(wider, "tpl", "left").select(
         "id", "key", "no", F.coalesce("wider", "tpl").alias("tpl"))
     # By template and document first: a very common template is combined before it meets its like.
