@@ -111,3 +111,13 @@ def test_chunk_id_is_a_digest_prefix(spark):
     df = spark.createDataFrame([("d.md", 7, "té")], "d string, s int, t string")
     got = df.select(tx.chunk_id(F.col("d"), F.col("s"), F.col("t"))).first()[0]
     assert got == hashlib.sha256("d.md:7:té".encode()).hexdigest()[:16]
+
+
+def test_fixed_decimals_match_python(spark):
+    rng = random.Random(5)
+    values = [k / 16 for k in range(-40, 40)] + [k / 2000 for k in range(400)] + [0.2125, 1e-9, -1e-9, -0.0, 1234567.0625, 17.00015]
+    values += [rng.uniform(-30, 30) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (3, 4):
+        rows = df.select("v", tx.fixed(F.col("v"), digits).alias("text")).collect()
+        assert [r["text"] for r in rows] == [f"{r['v']:.{digits}f}" for r in rows]
