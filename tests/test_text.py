@@ -121,3 +121,12 @@ def test_fixed_decimals_match_python(spark):
     for digits in (3, 4):
         rows = df.select("v", tx.fixed(F.col("v"), digits).alias("text")).collect()
         assert [r["text"] for r in rows] == [f"{r['v']:.{digits}f}" for r in rows]
+
+
+def test_report_rounds_exact_value(spark):
+    from gleaner.plans import reports
+
+    report = spark.createDataFrame([(16, 0.0625, 0.2125, 0.3125, 0.4)], (
+        "n_questions long, hit_rate double, mrr double, mean_context_precision double, mean_context_recall double"))
+    text = reports.eval_report_text(report, 5, "bm25").first()["report"]
+    assert [line[-5:] for line in text.split("\n")[2:]] == ["0.062", "0.212", "0.312", "0.400"]
