@@ -193,3 +193,24 @@ def test_scores_add_up_in_the_order_of_the_question(spark, zipf):
     for r in rows:
         # The floor of frequent words rests on a mean, whose own order of addition is free.
         assert r["score"] == pytest.approx(okapi.score(questions[int(r["query_id"][1:])])[int(r["doc_id"][:4])], rel=1e-14)
+
+
+def test_blocks_are_made_where_the_chunks_lie(spark):
+    """Counts over any batches, one exchange, no grouping of postings; wordless chunks have none."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdeé", k=rng.randint(0, 12))) for _ in range(60)] + ["", "  ", None, "A a"]
+    rows = [(i + (5 << 33) * (i > 30), t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = L.build_blocks(spark.createDataFrame(rows, "position long, text string"), 3, 2)
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {(t, p): (n, len((x or "").split())) for p, x in rows for t, n in Counter((x or "").lower().split()).items()}
+    assert {(b["term"], e["position"]): (e["tf"], e["dl"]) for b in got for e in b["entries"]} == want
+    for b in got:
+        assert {e["position"] >> L.GRID_BITS for e in b["entries"]} == {b["cell"]} and b["n"] == len(b["entries"])
+        assert (b["max_tf"], b["min_dl"]) == (max(e["tf"] for e in b["entries"]), min(e["dl"] for e in b["entries"]))
+    assert {r["term"]: r["df"] for r in L.document_frequency(made).collect()} == Counter(t for t, _ in want)
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
