@@ -4,7 +4,9 @@ Two permutations of DOMAIN places make all signature coordinates: the first deal
 place, the second, shifted circularly by k, gives coordinate k. Bands of ROWS coordinates make
 buckets. Texts of equal words are one representative. Small buckets compare their members; a
 larger one is split by size class, since a pair can only link when the smaller set has at least
-the given share of the larger one's size. In a class, a few leaders at a time meet all members of
+the given share of the larger one's size. Shingles that one member of large buckets alone holds are in no
+intersection there; what is left bounds every similarity, and a member that can reach none of the sizes
+around it leaves. In a class, a few leaders at a time meet all members of
 other components in their own and the two neighbouring classes and then retire; a class is done when it and
 its neighbours are one component. So no link between different components is lost, and rows per
 round stay in proportion to the members. Every comparison is on full sets. Tables of earlier
@@ -93,6 +95,26 @@ def sizes_fit(x: Column, y: Column, percent: int) -> Column:
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
+def with_shared(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """``large`` with ``shared``: how many shingles of a member some other member of large buckets holds as well."""
+    ids = large.select("rep").distinct()
+    every = texts.join(ids, "rep", "left_semi").select("rep", F.explode(shingles(words(F.col("text")))).alias("s"))
+    alone = every.groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    return large.join(alone, "rep", "left").select(*large.columns, (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def can_link(size: Column, shared: Column, other_size: Column, other_shared: Column, percent: int) -> Column:
+    """An intersection holds at most the shared shingles of either set; implies ``sizes_fit``."""
+    common = F.least(shared, other_shared)
+    return F.lit(100) * common >= F.lit(percent) * (size + other_size - common)
+
+
+def can_reach(size: Column, shared: Column, least_size: Column, most_shared: Column, percent: int) -> Column:
+    """False where a set can link with none of sets of at least that size that share at most so much."""
+    common = F.least(shared, most_shared)
+    return F.lit(100) * common >= F.lit(percent) * (size + F.greatest(least_size, common) - common)
+
+
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The stored pairs (a, b) whose full sets reach the similarity, stored in their place.
 
@@ -133,38 +155,49 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
              .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     texts = rows.select(F.col("doc_id").alias("rep"), "text").where("rep is not null")
     large = write_and_reread(members.where(F.col("n") > SMALL_BUCKET).select(
-        "bucket", "rep", "size", size_class(F.col("size"), percent).alias("cls")), "large")
+        "bucket", "rep", "size", size_class(F.col("size"), percent).alias("cls")), "sized")
+    sized, large = large, write_and_reread(with_shared(large, texts), "large")
+    discard(sized)
     links = verified(write_and_reread(small.distinct(), "pairs"), texts, percent)
     group, rounds = components(links), 0
     discard(members, links)
     near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
     while True:
         known = large.join(group.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        # A class can be left when all that its members could link with is in their component.
-        mixed = known.groupBy("bucket", "cls").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        mixed = mixed.select("bucket", near.alias("cls"), "lo", "hi").groupBy("bucket", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        known = write_and_reread(known.join(mixed.where("lo < hi").select("bucket", "cls"), ["bucket", "cls"]), "open")
+        # A class can be left when all that its members could link with is in their component, a member
+        # when nothing around it is small enough and shares enough.
+        mixed = known.groupBy("bucket", "cls").agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("size").alias("least"), F.max("shared").alias("most"))
+        mixed = mixed.select("bucket", near.alias("cls"), "lo", "hi", "least", "most").groupBy("bucket", "cls").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"))
+        known = write_and_reread(
+            known.join(mixed.where("lo < hi").drop("lo", "hi"), ["bucket", "cls"])
+            .where(can_reach(F.col("size"), F.col("shared"), F.col("least"), F.col("most"), percent)).drop("least", "most"), "open")
         discard(large)
         if known.isEmpty():
             break
-        # Leaders: per bucket, class and slice, one of the smallest and one of the largest component.
+        # Leaders: per bucket, class and slice, one of the smallest and one of the largest component, and the
+        # member with the fewest shingles of its own, which the copies of one text are all near.
         slices = F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(1 << min(rounds, 5)))
-        pick = F.struct("c", F.xxhash64("rep").alias("h"), "rep", "size")
-        leaders = (known.groupBy("bucket", "cls", slices.alias("slice")).agg(F.min(pick).alias("x"), F.max(pick).alias("y"))
-                   .select("bucket", "cls", F.explode(F.array("x", "y")).alias("l"))
-                   .select("bucket", "cls", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c"), F.col("l.size").alias("lead_size"))
-                   .distinct())
+        pick = F.struct("c", F.xxhash64("rep").alias("h"), "rep", "size", "shared")
+        nearest = F.struct(F.col("size") - F.col("shared"), F.xxhash64("rep"))
+        leaders = (known.groupBy("bucket", "cls", slices.alias("slice"))
+                   .agg(F.min(pick).alias("x"), F.max(pick).alias("y"), F.min_by(pick, nearest).alias("z"))
+                   .select("bucket", "cls", F.explode(F.array("x", "y", "z")).alias("l"))
+                   .select("bucket", "cls", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c"),
+                           F.col("l.size").alias("lead_size"), F.col("l.shared").alias("lead_shared")).distinct())
         leaders = write_and_reread(leaders, "leaders")
-        met = leaders.select("bucket", near.alias("cls"), "lead", "lead_c", "lead_size")
+        met = leaders.select("bucket", near.alias("cls"), "lead", "lead_c", "lead_size", "lead_shared")
         pairs = (known.join(met, ["bucket", "cls"])
-                 .where((F.col("c") != F.col("lead_c")) & sizes_fit(F.col("size"), F.col("lead_size"), percent))
+                 .where((F.col("c") != F.col("lead_c"))
+                        & can_link(F.col("size"), F.col("shared"), F.col("lead_size"), F.col("lead_shared"), percent))
                  .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
         found = verified(write_and_reread(pairs, "pairs"), texts, percent)
         # Components so far as stars, and the new links.
         stars = group.select(F.col("v").alias("a"), F.col("c").alias("b")).where("a <> b")
         links = write_and_reread(stars.unionByName(found), "links")
         large = write_and_reread(known.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-                                 .select("bucket", "rep", "size", "cls"), "large")
+                                 .select("bucket", "rep", "size", "cls", "shared"), "large")
         discard(found, group, known, leaders)
         group = components(links)
         discard(links)
@@ -172,6 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     rep_of = leads.join(group.select(F.col("v").alias("rep"), "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     linked = stored.select("doc_id", "n_shingles", "digest").join(rep_of, "digest")
     linked = linked.select("doc_id", "n_shingles", "component_id")
-    alone = rows.where(F.size(words(F.col("text"))) == 0).select(
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # no text is cut into words again for this
+    alone = rows.where(~has_word).select(
         "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")).distinct()
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -32,3 +32,24 @@ def test_neighbouring_classes_hold_every_pair_that_can_link(spark):
         "x", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("d")).select("x", (x * 100 / 85 - F.col("d")).cast("long").alias("y")).where("y >= x")
     far = pairs.where(minhash.sizes_fit(x, y, 85) & (F.abs(minhash.size_class(x, 85) - minhash.size_class(y, 85)) > 1))
     assert far.isEmpty() and not pairs.where(minhash.sizes_fit(x, y, 85)).isEmpty()
+
+
+def test_copies_too_far_from_each_other_are_not_compared(spark, monkeypatch):
+    """Edits of one text that share buckets but no link: the shingles of their own rule the pairs out."""
+    rng, base, data = random.Random(3), [f"t{j}" for j in range(300)], []
+    for k in range(80):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 6), 9 if k < 70 else 1):
+            w[at] = f"x{k}_{at}"
+        data.append((k, " ".join(w)))
+    seen, whole = [], minhash.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: min(k, 70) for k in range(80)}
+    assert sum(seen[1:]) < 150 and len(seen) < 5
