@@ -8,9 +8,10 @@ the given share of the larger one's size. Shingles that one member of large buck
 intersection there; what is left bounds every similarity, and a member that can reach none of the sizes
 around it leaves. In a class, a few leaders at a time meet all members of
 other components in their own and the two neighbouring classes and then retire; a class is done when it and
-its neighbours are one component. So no link between different components is lost, and rows per
-round stay in proportion to the members. Every comparison is on full sets. Tables of earlier
-rounds are deleted.
+its neighbours are one component. Once a round of leaders finds no link, the members left meet on the
+rarest shingles of their sets: shingles that one component alone holds come first and meet nothing, and a
+pair meets only where the places of a shingle leave room for a link. So no link between different
+components is lost. Every comparison is on full sets. Tables of earlier rounds are deleted.
 
 Cases: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 document of fewer than five words has one shingle; repeated ids with equal text are one document;
@@ -115,6 +116,35 @@ def can_reach(size: Column, shared: Column, least_size: Column, most_shared: Col
     return F.lit(100) * common >= F.lit(percent) * (size + F.greatest(least_size, common) - common)
 
 
+def rare_pairs(known: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of different components that meet on a rare shingle and can link.
+
+    Sets are ordered alike, shingles of few members first. The first shingle that two sets share is followed in
+    both by all others that they share, so its places bound the intersection. Shingles of one component alone
+    are in no such intersection: they only move the others back. At a shingle, members of its most frequent
+    component do not meet each other.
+    """
+    ids = known.select("rep", "size", "c").distinct()
+    held = write_and_reread(texts.join(ids, "rep").select(
+        "rep", "size", "c", F.explode(shingles(words(F.col("text")))).alias("s")).distinct(), "held")
+    common = held.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s", "n")
+    place = (F.col("size") - F.size("m") + F.col("i")).alias("place")
+    rare = (held.join(common, "s").groupBy("rep", "size", "c").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("m"))
+            .select("rep", "size", "c", "m", F.posexplode("m").alias("i", "e")).select("rep", "size", "c", F.col("e.s").alias("s"), place)
+            .where(F.lit(100) * (F.col("size") - F.col("place")) >= F.lit(percent) * F.col("size")))
+    rare = write_and_reread(rare, "rare")
+    most = rare.groupBy("s", "c").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    x = rare.join(most, "s").where("c <> most").select("s", *(F.col(k).alias(f"x_{k}") for k in ("rep", "size", "c", "place")))
+    y = rare.join(most, "s")
+    room = F.least(F.col("x_size") - F.col("x_place"), F.col("size") - F.col("place"))
+    pairs = (x.join(y, "s").where((F.col("x_c") != F.col("c")) & ((F.col("c") == F.col("most")) | (F.col("x_rep") < F.col("rep")))
+                                  & (F.lit(100 + percent) * room >= F.lit(percent) * (F.col("x_size") + F.col("size"))))
+             .select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct())
+    pairs = write_and_reread(pairs, "pairs")
+    discard(held, rare)
+    return pairs
+
+
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The stored pairs (a, b) whose full sets reach the similarity, stored in their place.
 
@@ -132,6 +162,18 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (v, c) joined by new links: those so far as stars, and the links. Both tables are given up."""
+    if links.isEmpty():
+        return group
+    stars = group.select(F.col("v").alias("a"), F.col("c").alias("b")).where("a <> b")
+    both = write_and_reread(stars.unionByName(links), "links")
+    discard(group, links)
+    group = components(both)
+    discard(both)
+    return group
+
+
 def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per distinct (id, text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     sized, large = large, write_and_reread(with_shared(large, texts), "large")
     discard(sized)
     links = verified(write_and_reread(small.distinct(), "pairs"), texts, percent)
-    group, rounds = components(links), 0
+    group, rounds, found = components(links), 0, True
     discard(members, links)
     near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
     while True:
@@ -176,6 +218,10 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
         discard(large)
         if known.isEmpty():
             break
+        if not found:
+            rest = verified(rare_pairs(known, texts, percent), texts, percent)
+            group = merged(group, rest)
+            break
         # Leaders: per bucket, class and slice, one of the smallest and one of the largest component, and the
         # member with the fewest shingles of its own, which the copies of one text are all near.
         slices = F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(1 << min(rounds, 5)))
@@ -192,15 +238,12 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
                  .where((F.col("c") != F.col("lead_c"))
                         & can_link(F.col("size"), F.col("shared"), F.col("lead_size"), F.col("lead_shared"), percent))
                  .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
-        found = verified(write_and_reread(pairs, "pairs"), texts, percent)
-        # Components so far as stars, and the new links.
-        stars = group.select(F.col("v").alias("a"), F.col("c").alias("b")).where("a <> b")
-        links = write_and_reread(stars.unionByName(found), "links")
+        new = verified(write_and_reread(pairs, "pairs"), texts, percent)
+        found = not new.isEmpty()
         large = write_and_reread(known.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
                                  .select("bucket", "rep", "size", "cls", "shared"), "large")
-        discard(found, group, known, leaders)
-        group = components(links)
-        discard(links)
+        discard(known, leaders)
+        group = merged(group, new)
         rounds += 1
     rep_of = leads.join(group.select(F.col("v").alias("rep"), "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     linked = stored.select("doc_id", "n_shingles", "digest").join(rep_of, "digest")

@@ -53,3 +53,28 @@ def test_copies_too_far_from_each_other_are_not_compared(spark, monkeypatch):
     got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 85).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: min(k, 70) for k in range(80)}
     assert sum(seen[1:]) < 150 and len(seen) < 5
+
+
+def test_edits_that_many_copies_share_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with cuts at few places: no shingle is a member's own, most pairs share buckets but no link."""
+    rng, base, data = random.Random(9), [f"t{j}" for j in range(146)], []
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(8, 140, 2), rng.choice((0, 1, 3, 4))):
+            w[at] = f"x{at}"
+        data.append((k, " ".join(w)))
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t in data}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    group = plain([*links, *((i, i) for i in sets)])
+    seen, whole = [], minhash.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: group.get(i, i) for i in sets}
+    assert len({group.get(i, i) for i in sets}) > 20
+    assert len(seen) < 6, seen
