@@ -1,6 +1,7 @@
 """Gold documents of short passages, against a plain search."""
 
 from gleaner.suite import inputs
+from gleaner.suite.queries import QUERIES
 
 TEXTS = {
     "s/1": "The cat sat.\nOn a mat", "s/2": "concatenate all Words", "s/3": "words, all words",
@@ -26,3 +27,30 @@ def test_gold_of_one_and_two_words(spark, tmp_path):
                           ).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["query_id"]: r["gold_doc_ids"] for r in inputs.gold(spark, str(tmp_path)).collect()}
     assert got == {"7": ["a/1"], "8": ["a/1"], "9": []}
+
+
+def test_only_needed_tables_of_the_index_are_made(spark, tmp_path):
+    """Corpus scalars need no postings, collections none either, rankings by words no vectors; results are the same."""
+    rows = [(i, f"src{i % 2}", " ".join(f"w{j % (i + 3)} " for j in range(40 * i))) for i in range(9)]
+    spark.createDataFrame([*rows, (9, "src0", None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf = str(tmp_path)
+
+    def made(what):
+        return (spark.sparkContext.applicationId, sf, what) in inputs._stored
+
+    scalars, terms = QUERIES["corpus_statistics"](spark, sf).collect(), sorted(QUERIES["term_statistics"](spark, sf).collect())
+    assert not made("lexical") and not made("chunks")
+    assert QUERIES["collection_check"](spark, sf).first()["points"] == scalars[0]["chunks"] > 9
+    assert made("vectors") and not made("lexical")
+    ix = inputs.index(spark, sf)
+    assert made("lexical") and ix.vectors.count() == scalars[0]["chunks"]
+    assert QUERIES["corpus_statistics"](spark, sf).collect() == scalars
+    assert sorted(QUERIES["term_statistics"](spark, sf).collect()) == terms
+    assert scalars[0]["tokens"] == ix.lexical.stats.token_count
+
+
+def test_corpus_statistics_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["corpus_statistics"](spark, str(tmp_path)).first()
+    assert tuple(got) == (0, None, None, 0, 0.0)
