@@ -54,3 +54,29 @@ def test_corpus_statistics_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["corpus_statistics"](spark, str(tmp_path)).first()
     assert tuple(got) == (0, None, None, 0, 0.0)
+
+
+def test_runs_of_words_are_found_by_task_or_shuffle(spark, make_docs, monkeypatch):
+    docs = make_docs({"a": "one two three four five six", "b": "TWO three\tfour\u2003five x", "c": "two three", "d": "", "e": "four five six two three four",
+                      "f": "two three four five two three four five"})
+    rows = [("q1", "e two three four five s"), ("q1", "one two three fo"), ("q2", "two three four"), (None, "one two thr"), ("q3", "x y z"), ("q4", "six\ntwo three")]
+    passages = spark.createDataFrame(rows, "query_id string, question string")
+    texts = {r["doc_id"]: r["normalized_text"] for r in docs.collect()}
+    want = sorted({(str(q), d) for q, p in rows for d, t in texts.items() if p in t})
+    anchors = passages.select("query_id", "question", inputs.F.slice(inputs.tokenize(inputs.F.col("question")), 2, 1).alias("run"))
+    held = [sorted(map(repr, inputs._holders(docs, anchors).distinct().collect()))]
+    assert "Exchange" not in inputs._holders(docs, anchors).select("doc_id")._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((str(q), d) for q, d in inputs.containing_documents(docs, passages).collect()) == want
+    monkeypatch.setattr(inputs, "HELD_RUNS", 0)
+    held.append(sorted(map(repr, inputs._holders(docs, anchors).distinct().collect())))
+    assert sorted((str(q), d) for q, d in inputs.containing_documents(docs, passages).collect()) == want
+    # A query id with two passages finds both for each of its documents; the search for the passage decides.
+    assert set(held[1]) <= set(held[0])
+
+
+def test_rankings_of_the_suite_make_no_postings(spark, tmp_path):
+    spark.createDataFrame([(i, "s", f"w{i % 3} w{i} a b c") for i in range(30)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "w1 a"), (8, "w9")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["bm25_top_k"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    assert len(rows) == 10 and rows[5]["doc_id"] == "s/9" and rows[5]["score"] > 0 == rows[6]["score"]
+    assert inputs.index(spark, str(tmp_path), ("lexical",)).lexical.blocks is None

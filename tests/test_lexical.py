@@ -214,3 +214,84 @@ def test_blocks_are_made_where_the_chunks_lie(spark):
         assert (b["max_tf"], b["min_dl"]) == (max(e["tf"] for e in b["entries"]), min(e["dl"] for e in b["entries"]))
     assert {r["term"]: r["df"] for r in L.document_frequency(made).collect()} == Counter(t for t, _ in want)
     assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def unposted(spark, make_docs, texts, path):
+    """An index without postings, over chunks in several files."""
+    docs = make_docs({f"{i:04d}.txt": t for i, t in enumerate(texts)})
+    chunks = write_and_reread(L.cut_in_order(docs, chunk_fixed), "chunks")
+    write_lexical(chunks, path, postings=False)
+    with pytest.raises(ValueError, match="has no postings"):
+        read_lexical(spark, path)
+    return read_lexical(spark, path, chunks)
+
+
+@pytest.mark.parametrize("tiled", [False, True])
+@pytest.mark.parametrize("name", TEXTS)
+def test_reading_the_texts_ranks_as_the_formula(spark, make_docs, tmp_path, monkeypatch, name, tiled):
+    texts = TEXTS[name]
+    index, okapi = unposted(spark, make_docs, texts, str(tmp_path / "lex")), Okapi(texts)
+    if tiled:
+        monkeypatch.setattr(L, "SCAN_TERMS", 2)
+        monkeypatch.setattr(L, "SCAN_SHARD", 2)
+    rows = ranked(index, ask(spark, QUESTIONS), 4).collect()
+    for i, q in enumerate(QUESTIONS):
+        found = [(int(r["doc_id"][:4]), r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == f"q{i}"]
+        assert [d for d, _ in found] == okapi.top(q, 4), q
+        assert [s for _, s in found] == pytest.approx([okapi.score(q)[d] for d, _ in found], abs=1e-9)
+
+
+def test_both_rankings_and_explanations_agree_bit_for_bit(spark, zipf, make_docs, tmp_path, monkeypatch):
+    """Postings and texts give the same rows; of the texts no task hands over more than k chunks a question."""
+    index, texts, questions = zipf
+    other, asked = unposted(spark, make_docs, texts, str(tmp_path / "lex")), ask(spark, questions)
+    other = L.LexicalIndex(other.chunks, None, index.terms, index.stats, texts=other.texts)
+    monkeypatch.setattr(L, "SCAN_RUN", 33)
+    want, got = ([tuple(r) for r in ranked(ix, asked, 5).select("query_id", "rank", "doc_id", "score").orderBy("query_id", "rank").collect()]
+                 for ix in (index, other))
+    assert got == want
+    explained = [sorted((r["query_id"], r["rank"], r["document_length"], tuple(map(tuple, r["terms"]))) for r in
+                        L.bm25_explain(ix, asked, L.bm25_top_k(ix, asked, 3)).collect()) for ix in (index, other)]
+    assert explained[0] == explained[1]
+    terms = write_and_reread(L.weighted_terms(other, L.query_terms(asked.withColumn("query_id", F.substring("query_id", 2, 9).cast("long")))), "terms")
+    found = L._scanned(other, terms, 5)
+    assert found.count() <= 5 * len(questions) * found.rdd.getNumPartitions()
+
+
+def test_frequent_questions_read_the_texts(spark, make_docs, tmp_path):
+    chunks = write_and_reread(L.with_position(chunk_fixed(make_docs({f"{i:02d}": f"the w{i} a b c d e f g h" for i in range(60)}))), "chunks")
+    write_lexical(chunks, str(tmp_path / "lex"))
+    index = read_lexical(spark, str(tmp_path / "lex"), chunks)
+    for question, scans in (("the", True), ("w7", False)):
+        assert L._scans(index, L.weighted_terms(index, L.query_terms(ask(spark, [question])))) is scans
+        assert [int(r["doc_id"]) for r in ranked(index, ask(spark, [question]), 2).orderBy("rank").collect()] == (
+            [0, 1] if scans else [7, 0])
+
+
+def test_arrow_and_spark_cut_the_same_words(spark):
+    """Every blank, blank edges, blank texts, capitals of special lower case; counts over any batches."""
+    from gleaner.functions.text import tokenize
+
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["\u200b\ufeff".join(["x", *blanks, "y"]), " ".join(blanks) + "ΟΔΟΣ İx", "".join(blanks), "", None, " a b", "a b ", "b a a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [r[0] or [] for r in df.select(tokenize(F.col("text"))).collect()]
+    length, coded = L.coded_words(df.select(F.lower("text").alias("t")).coalesce(1).toArrow().column("t").combine_chunks())
+    words = iter(coded.to_pylist())
+    assert [[next(words) for _ in range(n)] for n in length] == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        terms, stats = L.corpus_terms(df)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert {r["term"]: r["df"] for r in terms.collect()} == Counter(t for w in want for t in set(w))
+    assert (stats.chunk_count, stats.token_count) == (len(texts), sum(map(len, want)))
+
+
+def test_documents_cut_once_keep_the_order_of_chunks(spark, make_docs):
+    docs = make_docs({f"{d}/{i}": "word and more. " * (1 + 37 * i % 300) for d in ("a", "a-b", "a/b", "b") for i in range(9)})
+    rows = [[r["chunk_id"] for r in write_and_reread(made, "chunks").orderBy("position").collect()]
+            for made in (L.with_position(chunk_fixed(docs)), L.cut_in_order(docs, chunk_fixed))]
+    assert rows[0] == rows[1] and len(rows[0]) > 36
+    plan = L.cut_in_order(docs, chunk_fixed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")  # cut after the one shuffle, not before
