@@ -80,3 +80,12 @@ def test_rankings_of_the_suite_make_no_postings(spark, tmp_path):
     rows = QUERIES["bm25_top_k"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
     assert len(rows) == 10 and rows[5]["doc_id"] == "s/9" and rows[5]["score"] > 0 == rows[6]["score"]
     assert inputs.index(spark, str(tmp_path), ("lexical",)).lexical.blocks is None
+
+
+def test_evidence_ranks_once(spark, monkeypatch):
+    from gleaner.suite import queries
+
+    calls, ranked = [], queries._results
+    monkeypatch.setattr(queries, "_results", lambda *a: calls.append(a) or ranked(*a))
+    assert QUERIES["context_evidence"](spark, "/root/testdata/sf0.001").count() == 200
+    assert len(calls) == 1
